@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngramjoin
+from . import ngramjoin, substring
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +18,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring.SQL,
     "op8_ngram_jaccard_join": ngramjoin.SQL,
 }
