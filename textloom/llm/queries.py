@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngramjoin, substring
+from . import bpe, langid, licenses, ngramjoin, substring, warc
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_chunks(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -28,11 +36,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_warc_chunks": op5_warc_chunks,
+    "op6_license_scan": op6_license_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring.SQL,
+    "op5_warc_chunks": warc.SQL,
+    "op6_license_scan": licenses.SQL,
     "op8_ngram_jaccard_join": ngramjoin.SQL,
 }
