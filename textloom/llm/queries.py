@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, ngramjoin, substring, warc
+from . import bpe, langid, licenses, mixing, ngramjoin, sharding, substring, warc
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_chunks(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -33,13 +37,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_mixtures(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.reshard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_mix_sources": op3_mix_sources,
     "op5_warc_chunks": op5_warc_chunks,
     "op6_license_scan": op6_license_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
+    "op10_reshard": op10_reshard,
 }
 
 ORACLE_SQL: dict[str, str] = {
