@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, mixing, ngramjoin, sharding, substring, warc
+from . import bpe, embdedup, knn, langid, licenses, mixing, ngramjoin, sharding, substring, warc
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_chunks(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -29,6 +33,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_embedding_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -45,8 +53,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_knn_join": op4_knn_join,
     "op5_warc_chunks": op5_warc_chunks,
     "op6_license_scan": op6_license_scan,
+    "op7_embedding_near_pairs": op7_embedding_near_pairs,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_reshard": op10_reshard,
@@ -54,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring.SQL,
+    "op4_knn_join": knn.SQL,
     "op5_warc_chunks": warc.SQL,
     "op6_license_scan": licenses.SQL,
+    "op7_embedding_near_pairs": embdedup.SQL,
     "op8_ngram_jaccard_join": ngramjoin.SQL,
 }
