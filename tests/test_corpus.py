@@ -1,0 +1,310 @@
+from __future__ import annotations
+
+import io
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom import api, options
+from textloom.operators import lines, scan, stats
+from textloom.options import ScanOptions
+from textloom.plans import dumps, tree
+from textloom.sources import ignore
+from textloom.sources.files import list_files, virtual_files, with_content
+from textloom.streaming import ingest
+
+TREE = {
+    "README.md": "# Title\n\ntext\n", "main.go": "// c\npackage main\n\nvar token = \"abc\" // keep\n", ".env": "password=1\n", ".hidden/x.txt": "deep\n", "_dir/__init__.py": "", "a/b": "one\ntwo", "a-b/c": "three\r\n",
+    "a.txt": "needle here\nnone\nNeedle\nneedle again", "src/app.py": "# note\nvalue = 1\n", "src/img.png": "not text", "src/sub dir/é.txt": "ünï\n", "src/data.bin": b"\x00\x01", "src/sjis.txt": "これは日本語の文章です。漢字。".encode("cp932"),
+    ".git/config": "x", "x.xml": "<a>]]></a>", ".gitignore": "*.log\n!keep.log\n", "b.log": "log", "keep.log": "kept", "src/.gitignore": "/app.py\n",
+}
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory):
+    base = tmp_path_factory.mktemp("tree") / "project"
+    for name, body in TREE.items():
+        p = base / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(body if isinstance(body, bytes) else body.encode())
+    return str(base)
+
+
+def paths(df, col="rel_path"):
+    return {r[col] for r in df.collect()}
+
+
+# sources
+
+
+def test_listing_loses_nothing(spark, root):
+    files = list_files(spark, root)
+    dirs = {"a", "a-b", "src", "src/sub dir", "_dir", ".hidden", ".git"}
+    assert paths(files.where("not is_dir")) == set(TREE) and paths(files.where("is_dir")) == dirs
+    by = {r.rel_path: r for r in files.collect()}
+    assert by["_dir/__init__.py"].size == 0 and by["src/sub dir/é.txt"].parts == ["src", "sub dir", "é.txt"] and by["src/app.py"].parent == "src" and by[".env"].ext == ".env" and by["a/b"].depth == 2
+    with_bytes = {r.rel_path: r.content for r in with_content(files).collect()}
+    assert bytes(with_bytes["src/data.bin"]) == b"\x00\x01" and with_bytes["src"] is None and bytes(with_bytes["_dir/__init__.py"]) == b""
+    assert [r.rel_path for r in files.orderBy("parts").where("rel_path like 'a%'").collect()] == ["a", "a/b", "a-b", "a-b/c", "a.txt"]
+
+
+def test_links_are_not_followed_and_missing_roots_raise(spark, root, tmp_path):
+    (tmp_path / "t").mkdir()
+    os.symlink(root, tmp_path / "t" / "link")
+    assert [(r.rel_path, r.is_dir) for r in list_files(spark, str(tmp_path / "t")).collect()] == [("link", False)]
+    with pytest.raises(Exception, match="not a directory"):
+        list_files(spark, str(tmp_path / "none")).collect()
+
+
+def test_pushed_filters(spark, root):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert paths(list_files(spark, root).where(F.col("ext").isin(".py", ".go"))) == {"main.go", "_dir/__init__.py", "src/app.py"}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_virtual_files(spark):
+    rows = spark.createDataFrame([("a/b/c.py", "é"), ("a/d.go", None), ("e", "x"), (None, "lost")], "p string, t string")
+    files = virtual_files(rows, F.col("p"), F.col("t"))
+    assert {(r.rel_path, r.is_dir, r.size) for r in files.collect()} == {("a", True, 0), ("a/b", True, 0), ("a/b/c.py", False, 2), ("a/d.go", False, 0), ("e", False, 1)}
+    assert virtual_files(rows.where("false"), F.col("p"), F.col("t")).count() == 0
+
+
+# ignore rules
+
+CASES = {
+    "*.log": (["x.log", "d/x.log", "x.log/y"], ["x.log2"]), "/out/": (["out", "out/a"], ["d/out"]), "cache/**": (["cache/a/b", "cache"], ["mycache"]), "doc/**/*.md": (["doc/a.md", "doc/x/y/a.md"], ["a.md", "doc/a.txt"]), r"\!odd": (["!odd"], ["odd"]),
+    r"with\ space/": (["with space", "with space/x"], ["with"]), "**/gen/*": (["gen/a", "x/gen/a"], ["gen2/a"]), "p/**/q/*.t": (["p/q/a.t", "p/x/q/a.t", "p/x/y/q/a.t"], ["p/q/a.u"]), "a?c": (["abc"], ["a/c", "ac"]), "[ab].x": (["[ab].x"], ["a.x"]), "a.b": (["a.b"], ["aXb"]),
+}
+
+
+@pytest.mark.parametrize("rule", CASES)
+def test_one_rule(spark, rule):
+    yes, no = CASES[rule]
+    df = spark.createDataFrame([(p,) for p in yes + no], "p string").select("p", ignore.ignored(F.col("p"), ignore.compile_lines([rule])).alias("i"))
+    assert {r.p for r in df.collect() if r.i} == set(yes)
+
+
+def test_layers_and_deciding_rules(spark):
+    rules = [*ignore.compile_lines(["# c", "", "*.log", "!keep.log", "foo/"]), *ignore.compile_lines(["*.txt", "bar/", "!note.txt", "/ddd"], "sub")]
+    want = {"foo/x.log": "foo/", "keep.log": None, "sub/f.txt": "*.txt", "f.txt": None, "sub/note.txt": None, "sub/bar/d.txt": "bar/", "foo": "foo/", "sub/ddd/a": "/ddd", "ddd/a": None, "sub/x/ddd": None, "sub/y.log": "*.log"}
+    p = F.col("p")
+    df = spark.createDataFrame([(x,) for x in want], "p string").select("p", ignore.ignored(p, rules).alias("i"), ignore.ignored_by(p, rules).alias("by")).collect()
+    assert {r.p: r.by.raw if r.i else None for r in df} == want
+    by = {r.p: r.by for r in df}
+    assert by["keep.log"].raw == "!keep.log" and by["sub/f.txt"].directory == "sub" and by["f.txt"] is None
+    assert ignore.rules_table(spark, rules).count() == len(rules) == 7
+
+
+def test_discovery(spark):
+    rows = [(".gitignore", "*.a\n"), ("x/.corpusignore", "*.b\n"), ("y/.gitignore", "*.c"), ("y/.corpusignore", "*.d"), ("y/z.txt", "*.e")]
+    files = virtual_files(spark.createDataFrame(rows, "p string, t string"), F.col("p"), F.col("t"))
+    found = ignore.discover(files, extra=[["*.f"]])
+    assert [(r.raw, r.directory) for r in found] == [("*.a", ""), ("*.b", "x"), ("*.c", "y"), ("*.f", "")]
+
+
+# filters
+
+
+def test_filters(spark, root):
+    files = list_files(spark, root)
+
+    def kept(**kw):
+        return paths(scan.keep(files, ScanOptions(**kw)).where("not is_dir"))
+
+    every = set(TREE)
+    assert kept() == every
+    assert kept(include_ext=("py",)) == {"_dir/__init__.py", "src/app.py"} and kept(include_ext=("py",), filter_dirs=True) == set()
+    assert kept(exclude_ext=(".txt", "md")) == {p for p in every if not p.endswith((".txt", ".md"))}
+    assert kept(include_name="^[a-c]") == {"a/b", "a-b/c", "a.txt", "src/app.py", "b.log", ".git/config"}
+    assert kept(exclude_dirs=("src", ".git")) == {p for p in every if not p.startswith(("src/", ".git/"))}
+    assert kept(exclude_dir_regex="sub d") == every - {"src/sub dir/é.txt"}
+    assert kept(exclude_name="^src$|png") == {p for p in every if not p.startswith("src/")}
+    assert kept(ignore_dotfiles=True) == every - {".env", ".gitignore", "src/.gitignore"}
+    assert kept(ignore_dotfiles=True, prune_dot_dirs=True) == every - {".env", ".gitignore", "src/.gitignore", ".hidden/x.txt", ".git/config"}
+    assert kept(skip_git=True) == every - {".git/config"}
+    rules = api.rules_of(files)
+    assert paths(scan.keep(files, None, rules).where("not is_dir")) == every - {"b.log", "src/app.py"}
+    full = with_content(files)
+    assert paths(scan.keep(full, ScanOptions(skip_binary=True)).where("not is_dir")) == every - {"src/data.bin", "src/sjis.txt"}
+    some = spark.createDataFrame([(f"{root}/a.txt",)], "path string")
+    assert paths(scan.keep_only(files, some)) == {"a.txt"}
+
+
+# search, statistics, secrets
+
+
+def test_search(spark, root):
+    assert [(r.path, r.line_no, r.line) for r in api.search_in_files(spark, root, "needle").collect()] == [("a.txt", 1, "needle here"), ("a.txt", 4, "needle again")]
+    assert [(r.path, r.line_no) for r in api.search_in_files(spark, root, "(?i)^needle", is_regex=True, max_results=2).collect()] == [("a.txt", 1), ("a.txt", 3)]
+    assert api.search_in_files(spark, root, "needle", max_results=0).count() == 0
+    assert [r.path for r in api.search_in_files(spark, root, "e", max_results=3, options=ScanOptions(exclude_dirs=(".git",))).collect()] == [".gitignore", ".hidden/x.txt", "README.md"]
+    hits = lines.search_report(api.search_in_files(spark, root, "three")).first()
+    assert hits.hit == "a-b/c:1:three\r"
+    nothing = spark.createDataFrame([("a", None), ("b", "")], "rel_path string, text string")
+    assert lines.search(nothing, "x").count() == 0 and lines.lines(nothing).count() == 1
+
+
+def test_statistics(spark, root):
+    row = api.get_project_stats(spark, root, options=ScanOptions(exclude_dirs=(".git",))).first()
+    sizes = sum(len(b if isinstance(b, bytes) else b.encode()) for p, b in TREE.items() if not p.startswith(".git/"))
+    assert (row.total_files, row.total_directories, row.total_size) == (len(TREE) - 1, 7, sizes)
+    assert row.language_stats == {"markdown": 1, "go": 1, "text": 4, "python": 2, "xml": 1} and row.extension_stats[".gitignore"] == 2
+    info = api.get_file_info(spark, root, "src/app.py").first()
+    assert (info.path, info.is_dir, info.language, info.extension, info.basename) == ("src/app.py", False, "python", ".py", "app.py") and "T" in info.mod_time
+    empty = list_files(spark, root).where("false")
+    assert stats.project_stats(empty).first().total_files == 0
+
+
+def test_secret_scan(spark, root):
+    files = with_content(list_files(spark, root)).withColumn("text", F.col("content").cast("string"))
+    got = {(r.file, r.line, r.text) for r in scan.scan_secrets(files.where("name in ('main.go', '.env')")).collect()}
+    assert got == {("main.go", 4, 'var token = "abc" // keep'), (".env", 1, "password=1")}
+
+
+# tools
+
+
+def test_file_content(spark, root):
+    one = lambda *a, **k: [r.text for r in api.get_file_content(spark, root, *a, **k).collect()]
+    assert one("main.go") == ['1: // c\n2: package main\n3: \n4: var token = "*****MASKED*****" // keep\n5: ']
+    assert one("main.go", delete_comments=True, mask_secrets=False, with_line_numbers=False) == ['package main\nvar token = "abc" // keep']
+    assert one("src/sjis.txt", with_line_numbers=False)[0].startswith("これは") and one("none") == [] and one("src/data.bin", skip_binary=True) == []
+    with pytest.raises(ValueError, match="outside"):
+        api.get_file_content(spark, root, "../x")
+    assert paths(api.list_tree_files(spark, root, "src", options=ScanOptions(skip_binary=True)), "path") == {"app.py", "img.png", "sub dir/é.txt", ".gitignore"}
+
+
+def test_files_by_list(spark, root):
+    got = [r.chunk for r in api.get_files_compact(spark, root, ["a/b", "nope", "src/app.py"], delete_comments=True).orderBy("ord").collect()]
+    assert got == ["# Compact dump: a\n\n## File Dump\n", "@a/b\none␤two\n", "@nope\nError: no such file: nope\n", "@src/app.py\nvalue = 1\n"]
+    assert api.get_files_compact(spark, root, ["a/b", "a.txt"], max_files=1).count() == 2
+    assert api.get_files_compact(spark, root, []).count() == 1
+
+
+def test_resources(spark, root):
+    assert api.read_resource(spark, root, "file://a/b").first().text == "one\ntwo"
+    assert json.loads("".join(r.token for r in api.read_resource(spark, root, "directory://a").orderBy("ord").collect())) == {"name": "a", "type": "directory", "children": [{"name": "b", "type": "file"}]}
+    with pytest.raises(ValueError, match="unknown"):
+        api.read_resource(spark, root, "http://x")
+
+
+# trees and dumps
+
+
+def nested(root, name):
+    def node(path, label):
+        out = {"name": label, "type": "directory"}
+        kids = [node(os.path.join(path, e), e) if os.path.isdir(os.path.join(path, e)) else {"name": e, "type": "file"} for e in sorted(os.listdir(path)) if e != ".git"]
+        return {**out, "children": kids} if kids else out
+
+    return node(root, name)
+
+
+def test_json_tree(spark, root):
+    got = "".join(r.token for r in api.get_directory_tree(spark, root).orderBy("ord").collect())
+    assert json.loads(got) == nested(root, "project")
+    empty = tree.tree_json_rows(list_files(spark, root).where("false"), root_name='q"<').orderBy("ord").collect()
+    assert "".join(r.token for r in empty) == '{"name":"q\\"\\u003c","type":"directory"}'
+
+
+def drawn(root, keep):
+    def walk(path, rel, indent):
+        names = sorted(os.listdir(path))
+        for i, e in enumerate(names):
+            r = f"{rel}/{e}" if rel else e
+            last, is_dir = i == len(names) - 1, os.path.isdir(os.path.join(path, e))
+            if r not in keep:
+                continue
+            yield indent + ("└── " if last else "├── ") + e + ("/" if is_dir else "")
+            if is_dir:
+                yield from walk(os.path.join(path, e), r, indent + ("    " if last else "│   "))
+
+    return list(walk(root, "", ""))
+
+
+def test_text_tree(spark, root):
+    files = list_files(spark, root)
+    for options in (ScanOptions(), ScanOptions(exclude_name="^(x.xml|main.go)$"), ScanOptions(skip_git=True, exclude_ext=("txt",))):
+        kept = scan.keep(files, options)
+        got = [r.line for r in tree.tree_rows(files, kept).orderBy("parts").collect()]
+        assert got == drawn(root, paths(kept))
+    last = [r.line for r in tree.tree_rows(files, scan.keep(files, ScanOptions(exclude_name="^x.xml$")), last_of_kept=True).orderBy("parts").collect()]
+    assert last[-1].startswith("└── src/") or "    └── " in last[-1]
+
+
+def written(dump):
+    out = io.StringIO()
+    dumps.write_dump(dump, out)
+    return out.getvalue()
+
+
+def test_text_and_markdown_dumps(spark, root):
+    files = list_files(spark, root)
+    kept = with_content(scan.keep(files, ScanOptions(skip_git=True)))
+    text = written(dumps.dump_text(files, kept, root=root, name="project", number=True, mask=True))
+    assert text.startswith("Project: project\n") and f"{root}\n├── .env\n" in text
+    assert f"\n=== {root}/a/b ===\n     1: one\n     2: two\n" in text and f"=== {root}/a-b/c ===\n     1: three\n" in text
+    assert "img.png ===" not in text and "data.bin ===" not in text and "sjis.txt ===" not in text and ".git/config" not in text
+    assert '     4: var token = "*****MASKED*****" // keep\n' in text and f"=== {root}/_dir/__init__.py ===\n\n" in text
+    assert text.index("/a/b ===") < text.index("/a-b/c ===") < text.index("/a.txt ===")
+    md = written(dumps.dump_markdown(files, kept, root=root, name="project", delete_comments=True, decode_first=True))
+    assert f"\n---\n\n# File: {root}/main.go\n```go\npackage main\nvar token" in md and f"# File: {root}/src/sjis.txt\n```text\nこれは" in md and "# Project Tree\n\n```\n" in md
+
+
+def test_xml_and_compact_dumps(spark, root):
+    files = list_files(spark, root)
+    kept = with_content(scan.keep(files, ScanOptions(skip_git=True)))
+    xml = written(dumps.dump_xml(files, kept, root=root, name="project"))
+    import xml.etree.ElementTree as ET
+
+    top = ET.fromstring(xml)
+    assert [d.get("name") for d in top.findall("directory")] == [".hidden", "_dir", "a", "a-b", "src"]
+    assert [e.get("name") for e in top.find("directory[@name='src']")] == ["sub dir", ".gitignore", "app.py"]
+    assert top.find("file[@name='x.xml']").text == "\n\n<a>]]></a>\n\n" and top.find("file[@name='main.go']").get("language") == "go"
+    compact = written(dumps.dump_compact(files, kept, root=root, name="project", mask=True))
+    head, _, body = compact.partition("\n\n## File Dump\n")
+    assert json.loads(head.rpartition("## Directory Tree (JSON)\n")[2]) == nested(root, "project")
+    assert '@main.go\npackage main␤var token = "*****MASKED*****" // keep\n@' in body and "@src/sjis.txt" not in body and "@_dir/__init__.py\n\n@" in body
+
+
+def test_compressed_dump(spark):
+    row = spark.createDataFrame([("a\n\n  b \n",)], "t string").select(dumps.compress_dump(F.col("t"), "dump.md", "markdown").alias("c")).first()
+    assert row.c.endswith('{ "type": "file", "name": "dump.md" }\n\n## File Dump\n@dump.md\na␤b\n')
+
+
+# options and streams
+
+
+def test_parsers():
+    assert [options.parse_byte_size(x) for x in ("10M", "1.5k", "3", "0", "2G", "1T")] == [10 << 20, 1536, 3, 0, 2 << 30, 1 << 40]
+    for bad in ("", "M", "-1", "1X", "1.2.3", "1 0"):
+        with pytest.raises(ValueError, match="size"):
+            options.parse_byte_size(bad)
+    assert all(options.parse_switch(x) for x in ("on", "TRUE", "1", "yes", "y")) and not any(options.parse_switch(x) for x in ("off", "False", "0", "no", "N"))
+    with pytest.raises(ValueError, match="neither"):
+        options.parse_switch("maybe")
+    assert [options.parse_format(x) for x in ("md", "TXT", "x", "lite", "auto")] == ["markdown", "text", "xml", "compact", "auto"]
+    with pytest.raises(ValueError, match="unknown"):
+        options.parse_format("pdf")
+    assert [options.format_of_extension(x) for x in ("a.md", "b.XML", "c", "d.lite", "e.txt")] == ["markdown", "xml", "text", "compact", "text"]
+    assert options.compressible("xml") and not options.compressible("compact")
+    assert options.parse_server_kind(" HTTP ") == "http"
+    with pytest.raises(ValueError, match="kind"):
+        options.parse_server_kind("x")
+    assert options.csv_list(" a, b,,a ") == ["a", "b"] and options.trim_dot_slash("././a") == "./a" and options.merge_sets(["a"], {"b"}, ()) == {"a", "b"}
+    assert options.join_errors([None]) is None and str(options.join_errors([ValueError("a"), None, ValueError("b")])) == "a; b"
+
+
+def test_stream(spark, tmp_path):
+    spark.createDataFrame([("a.go", "// c\ntoken = 1\n needle"), ("b", None)], "rel_path string, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("rel_path string, text string").parquet(str(tmp_path / "in"))
+    for name, df in (("cleaned", ingest.cleaned(stream)), ("alerts", ingest.alerts(stream, "needle"))):
+        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+    assert {(r.path, r.language, r.text) for r in spark.table("cleaned").collect()} == {("a.go", "go", "token = *****MASKED*****␤needle"), ("b", "", None)}
+    assert [(r.path, r.line_no) for r in spark.table("alerts").collect()] == [("a.go", 3)]

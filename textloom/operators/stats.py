@@ -12,7 +12,10 @@ from ..functions.text import newline_token
 
 
 def counts(files: DataFrame) -> DataFrame:
-    """(kind, key, n, bytes): totals, and files by language and by extension, in one aggregation over grouping sets."""
+    """(kind, key, n, bytes): totals, and files by language and by extension, in one aggregation over grouping sets.
+
+    An empty relation has no rows.
+    """
     f = files.select("is_dir", "size", language_of(F.col("rel_path")).alias("language"), "ext")
     grouped = f.groupingSets([[], [F.col("is_dir"), F.col("language")], [F.col("is_dir"), F.col("ext")]], "is_dir", "language", "ext").agg(
         F.grouping_id().alias("g"), F.count_if(~f["is_dir"]).alias("files"), F.count_if(f["is_dir"]).alias("dirs"), F.coalesce(F.sum(F.when(~f["is_dir"], f["size"])), F.lit(0)).alias("bytes")
@@ -30,9 +33,12 @@ def project_stats(files: DataFrame) -> DataFrame:
     def table(kind: str):
         return F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n"))), lambda x: x.isNotNull())))
 
+    def total(kind: str, of: str):
+        return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(of))), F.lit(0))
+
     return c.agg(
-        F.max(F.when(F.col("kind") == "files", F.col("n"))).alias("total_files"), F.max(F.when(F.col("kind") == "directories", F.col("n"))).alias("total_directories"),
-        F.max(F.when(F.col("kind") == "files", F.col("bytes"))).alias("total_size"), table("language").alias("language_stats"), table("extension").alias("extension_stats"),
+        total("files", "n").alias("total_files"), total("directories", "n").alias("total_directories"), total("files", "bytes").alias("total_size"),
+        table("language").alias("language_stats"), table("extension").alias("extension_stats"),
     )
 
 

@@ -26,22 +26,13 @@ class _Part(InputPartition):
 
 
 class FilesReader(DataSourceReader):
-    """A partition for each directory of the first ``fan`` levels; equality filters on name and ext end a listing early."""
+    """A partition for each directory of the first ``fan`` levels."""
 
     def __init__(self, root: str, fan: int = 2):
         self.root, self.fan, self.wanted = os.path.abspath(root), fan, {}
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"not a directory: {root}")
 
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("name",), ("ext",)):
-                self.wanted.setdefault(f.attribute[0], []).append({f.value})
-            elif isinstance(f, In) and f.attribute in (("name",), ("ext",)):
-                self.wanted.setdefault(f.attribute[0], []).append(set(f.value))
-            else:
-                yield f
-
     def partitions(self):
         parts, level = [], [""]
         for _ in range(self.fan):
@@ -70,6 +61,19 @@ class FilesReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), kinds, strict=True)], names=["root", "path", "rel_path", "name", "ext", "is_dir", "size", "mod_time"])
 
 
+class PushingReader(FilesReader):
+    """A reader that lists only what equality filters on name and ext want; Spark allows one only with spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("name",), ("ext",)):
+                self.wanted.setdefault(f.attribute[0], []).append({f.value})
+            elif isinstance(f, In) and f.attribute in (("name",), ("ext",)):
+                self.wanted.setdefault(f.attribute[0], []).append(set(f.value))
+            else:
+                yield f
+
+
 def _entries(path: str) -> list[os.DirEntry]:
     try:
         with os.scandir(path) as found:
@@ -87,13 +91,14 @@ class Files(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ARG002
-        return FilesReader(self.options["path"])
+        return (PushingReader if self.options.get("push") == "true" else FilesReader)(self.options["path"])
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """The files relation of a directory tree (which every executor must see), without contents."""
     spark.dataSource.register(Files)
-    listed = spark.read.format("textloom_files").option("path", root).load()
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    listed = spark.read.format("textloom_files").option("path", root).option("push", push).load()
     return describe(listed).select("root", "path", "rel_path", "parts", "parent", "name", "ext", "depth", "is_dir", "size", "mod_time")
 
 
