@@ -10,7 +10,7 @@ that is run again replaces its own file. Reading: one task a file (gzip members
 pyarrow's file systems (local, HDFS, S3, ...), wherever the shared folder is.
 
 Defined results. A null html makes no record; an empty one a record with one empty chunk. A null url or page_id leaves
-its field out and is null again when read; control characters in a url are percent-encoded. Rows that repeat each make
+its field out and is null again when read; spaces and control characters in a url are percent-encoded. Rows that repeat each make
 a record: such records share their identifier and differ in (file, record_no). A file that ends within a record gives
 what is there, and valid is false; a wrong declared digest, too. Bytes that aren't WARC raise ValueError. Empty tables
 make no file and give an empty table. Other columns of the input are not written.
