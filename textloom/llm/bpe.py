@@ -302,9 +302,36 @@ def decode(spark: SparkSession, ids: Column, *, path: str = VOCABULARY) -> Colum
     return run(ids)
 
 
+CHECKED = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+
+def encode_checked(spark: SparkSession, text: Column, *, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
+    """A struct of a text's token ids and whether decoding them gives the text back; of null, null ids and true.
+
+    One function does both: as a chain of two, Spark would run the encoding twice.
+    """
+    prepare(spark)
+    shared: Any = spark.sparkContext.broadcast(read_ranks(path))
+
+    @F.arrow_udf(CHECKED)
+    def run(texts: pa.Array) -> pa.Array:
+        null = np.asarray(texts.is_null())
+        some = texts.drop_null().to_pylist()
+        ids, counts = encoder(shared.value, pattern).encode(some)
+        tokens = vocabulary(shared.value).tokens
+        full, same, a = np.zeros(len(texts), np.int64), np.ones(len(texts), bool), 0
+        full[~null] = counts
+        back = []
+        for t, n in zip(some, counts.tolist(), strict=True):
+            back.append(b"".join(map(tokens.__getitem__, ids[a : a + n].tolist())).decode(errors="replace") == t)
+            a += n
+        same[~null] = back
+        return pa.StructArray.from_arrays([_lists(ids, full, null), pa.array(same)], names=["token_ids", "round_trip"])
+
+    return run(text)
+
+
 def bpe_round_trip(docs: DataFrame, *, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip): each text's ids, and whether decoding them gives the text back."""
-    spark = docs.sparkSession
-    out = docs.select("doc_id", F.col("text").alias("__text"), encode(spark, F.col("text"), path=path, pattern=pattern).alias("token_ids"))
-    out = out.select("doc_id", "token_ids", "__text", decode(spark, F.col("token_ids"), path=path).alias("__back"))
-    return out.select("doc_id", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids", F.col("__text").eqNullSafe(F.col("__back")).alias("round_trip"))
+    out = docs.select("doc_id", encode_checked(docs.sparkSession, F.col("text"), path=path, pattern=pattern).alias("__r"))
+    return out.select("doc_id", F.when(F.col("__r.token_ids").isNotNull(), F.size("__r.token_ids")).alias("n_tokens"), "__r.token_ids", "__r.round_trip")
