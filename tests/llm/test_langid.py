@@ -84,7 +84,7 @@ def test_rejects_what_no_model_explains(model):
 def test_columns(spark, docs):
     rng = random.Random(4)
     rows = [(i, text(rng, x, 50), x, "s", 1, i) for i, x in enumerate(itertools.islice(itertools.cycle(LANGS), 30))]
-    rows += [(100, None, "aa", "s", None, 0), (101, "", None, None, None, 1), (None, text(rng, "bb", 30), None, "s", 2, 2), (103, "99 %% 1", "bb", "s", 3, 3), (104, text(rng, "cc", 30_000), "aa", "s", 4, None), (0, rows[0][1], "aa", "s", 1, 0)]
+    rows += [(100, None, "aa", "s", None, 0), (101, "", None, None, None, 1), (None, text(rng, "bb", 30), None, "s", 2, 2), (103, "99 %% 1", "bb", "s", 3, 3), (104, text(rng, "cc", 30_000), "cc", "s", 4, None), (0, rows[0][1], "aa", "s", 1, 0)]
     d = docs(rows, ", shares int").selectExpr("*", "1 as `__r`", "2 as accepted", "3 as `__row`")
     out = m.language_mixtures(d).collect()
     by = {r.doc_id: r for r in out}

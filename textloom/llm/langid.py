@@ -232,7 +232,8 @@ def identified(spark: SparkSession, text: Column, model: Model, *, penalty: floa
             names=["lang", "languages", "shares", "accepted"],
         )
 
-    return run(text)
+    # not to be evaluated once for a filter and again for its columns
+    return run.asNondeterministic()(text)
 
 
 def language_mixtures(docs: DataFrame, *, sample: int = SAMPLE, penalty: float = PENALTY) -> DataFrame:
