@@ -18,7 +18,6 @@ repeated rows need no rule. Other columns are carried; the output column replace
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -28,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import give_back, prepare, remembered
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Where byte-level tokenizers of this family cut words; white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = np.int64(1) << 62
-CHUNK_CHARS, CACHE_WORDS, CACHE_IDS = 1 << 20, 400_000, 4_000_000
+CHUNK_CHARS, CACHE_WORDS, CACHE_IDS = 1 << 18, 200_000, 2_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -58,6 +57,7 @@ class Vocabulary:
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
+        self.encoders: dict[str, Encoder] = {}
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
@@ -236,21 +236,16 @@ def ragged(begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begin - (ends - lens), lens)
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-@lru_cache(maxsize=2)
 def vocabulary(ranks_file: bytes) -> Vocabulary:
-    return Vocabulary(ranks_file)
+    return remembered(("bpe", hash(ranks_file)), lambda: Vocabulary(ranks_file))
 
 
 def encoder(ranks_file: bytes, pattern: str) -> Encoder:
     """The worker's encoder: later tasks use what earlier ones learnt."""
-    key = (hash(ranks_file), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(vocabulary(ranks_file), pattern)
-    return _encoders[key]
+    v = vocabulary(ranks_file)
+    if pattern not in v.encoders:
+        v.encoders[pattern] = Encoder(v, pattern)
+    return v.encoders[pattern]
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.Array:
@@ -269,6 +264,7 @@ def encode(spark: SparkSession, text: Column, *, path: str = VOCABULARY, pattern
         ids, counts = encoder(shared.value, pattern).encode(texts.drop_null().to_pylist())
         full = np.zeros(len(texts), np.int64)
         full[~null] = counts
+        give_back()
         return _lists(ids, full, null)
 
     return run(text)
@@ -326,6 +322,7 @@ def encode_checked(spark: SparkSession, text: Column, *, path: str = VOCABULARY,
             back.append(b"".join(map(tokens.__getitem__, ids[a : a + n].tolist())).decode(errors="replace") == t)
             a += n
         same[~null] = back
+        give_back()
         return pa.StructArray.from_arrays([_lists(ids, full, null), pa.array(same)], names=["token_ids", "round_trip"])
 
     return run(text)

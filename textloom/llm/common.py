@@ -9,8 +9,10 @@ columns are never read by name, so extra columns may have any name.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,24 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept in the worker for later tasks until another key is asked for: one model at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: waiting workers share the executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); without one, as in tests, a folder below the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -70,7 +90,7 @@ def sized(small: DataFrame, rows: int | None = None) -> DataFrame:
 class WordHash(dict):
     """64-bit hash of a word, remembered; the memory is bounded, forgetting is harmless."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

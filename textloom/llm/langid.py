@@ -22,7 +22,6 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Sequence
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import give_back, prepare, remembered
 
 SAMPLE, PENALTY, ROUNDS, UND = 300, 4.0, 12, "und"
-CHUNK_CHARS, CACHE_WORDS = 1 << 20, 500_000
+CHUNK_CHARS, CACHE_WORDS = 1 << 18, 200_000
 #: ASCII but letters becomes a space; bytes above stay, whatever they are.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 WEIGHTS = (0.7, 0.2, 0.09, 0.01)
@@ -197,9 +196,6 @@ class Identifier:
         return result
 
 
-_identifiers: dict[Any, Identifier] = {}
-
-
 def fit(docs: DataFrame, *, sample: int = SAMPLE) -> Model:
     """The models of the languages in docs.lang, from about ``sample`` documents of each."""
     labelled = docs.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__text")).where("__lang is not null and __text is not null")
@@ -221,11 +217,9 @@ def identified(spark: SparkSession, text: Column, model: Model, *, penalty: floa
 
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
-        key = (shared.value.key, penalty)
-        if key not in _identifiers:
-            _identifiers.clear()
-            _identifiers[key] = Identifier(shared.value, penalty)
-        found = _identifiers[key].identify([t or "" for t in texts.to_pylist()])
+        own = remembered((shared.value.key, penalty), lambda: Identifier(shared.value, penalty))
+        found = own.identify([t or "" for t in texts.to_pylist()])
+        give_back()
         lang = [f[0][0] if f and f[0][0] != UND else None for f in found]
         return pa.StructArray.from_arrays(
             [pa.array(lang, pa.string()), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[round(s, 6) for _, s in f] for f in found], pa.list_(pa.float64())), pa.array([x is not None for x in lang], pa.bool_())],

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prepare, text_hash, written
+from .common import WORD, give_back, prepare, text_hash, written
 
 BLOCK, SLOTS, ALPHA, SEED, BUCKETS = 512, 256, 0.5, 17, 16_384
 M64 = (1 << 64) - 1
@@ -109,6 +109,7 @@ def _cut(block: int):
                 rows += [(sid, b, p, n, lang, raw.decode()) for b, p, n, raw in got]
                 at += sum(n for _, _, n, _ in got)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)] if rows else [pa.array([], f.type) for f in PIECES], schema=PIECES)
+        give_back()
 
     return run
 

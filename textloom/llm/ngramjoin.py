@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, bundles, components, keyed, prepare, rolled, sized, text_hash, written
+from .common import WordHash, bundles, components, give_back, keyed, prepare, rolled, sized, text_hash, written
 
 N, THRESHOLD, Q, KEPT, HOT, HOT_KEPT, TILE = 3, 0.6, 12, 36, 2000, 50_000, 2048
 LEAF, FAN = 16, 8
@@ -150,6 +150,8 @@ def _signatures(n: int):
                     width, bits = bitmap(grams)
                     rows.append((i, th, xxhash.xxh128_digest(grams.tobytes()), len(grams), width, bits.to_bytes(width // 8, "little"), grams[:KEPT].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SIGNATURES, strict=True)] if rows else [pa.array([], f.type) for f in SIGNATURES], schema=SIGNATURES)
+        del hashes
+        give_back()
 
     return run
 
@@ -195,6 +197,7 @@ def _block_edges(t: float):
                         us.append(keys[order[i]])
                         vs.append(keys[order[x]])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+        give_back()
 
     return run
 
@@ -208,6 +211,8 @@ def _sets(n: int):
         for batch in batches:
             sets = [gram_set(x, n, hashes) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=SETS)
+        del hashes
+        give_back()
 
     return run
 
@@ -240,6 +245,7 @@ def _cluster_pairs(t: float):
                     if inter >= t * either - 1e-9:
                         rows.append((*sorted((keys[x], keys[y])), inter, either))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PAIRS, strict=True)] if rows else [pa.array([], f.type) for f in PAIRS], schema=PAIRS)
+        give_back()
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, bundles, keyed, prepare, rolled, text_hash, written
+from .common import WordHash, bundles, give_back, keyed, prepare, rolled, text_hash, written
 
 WINDOW, GRAM = 50, 10
 TOKEN = re.compile(rb"[^ \t\n\r\f\x0b]+[ \t\n\r\f\x0b]*")
@@ -68,6 +68,8 @@ def _marks(window: int, gram: int):
             if hs:
                 row = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(wins), pa.int32())], ["h", "__id", "__th", "start", "wins"])
+        del hashes
+        give_back()
 
     return run
 
@@ -75,7 +77,7 @@ def _marks(window: int, gram: int):
 PACKED = pa.schema([("h", pa.int64()), ("packed", pa.binary()), ("none", pa.bool_()), ("id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
-def _packed(window: int, most: int = 200_000):
+def _packed(window: int, most: int = 80_000):
     """Packed strings of the wanted super-k-mers; packed is null in rows that name a span already known to be a repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +99,8 @@ def _packed(window: int, most: int = 200_000):
                         rows.append((hash(me), None, *me, b))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PACKED, strict=True)], schema=PACKED)
+        seen.clear()
+        give_back()
 
     return run
 
@@ -164,6 +168,7 @@ def _spans(window: int):
                 r = row[new]
                 yield spans([None if none[x] else ids[x] for x in r], th[r].tolist(), a[r] + off[new], a[r] + off[end] + window)
         yield from out
+        give_back()
 
     return run
 
