@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, token ids, and whether they decode to the text."""
-    ids = docs.select("doc_id", "source", "lang", F.col("text"), bpe.encode(spark, F.col("text")).alias("token_ids"))
-    return ids.select("doc_id", "source", "lang", F.size("token_ids").alias("n_tokens"), "token_ids", F.col("text").eqNullSafe(bpe.decode(spark, F.col("token_ids"))).alias("round_trip"))
+    ids = docs.select("doc_id", "source", "lang", bpe.encode_checked(spark, F.col("text")).alias("__r"))
+    return ids.select("doc_id", "source", "lang", F.size("__r.token_ids").alias("n_tokens"), "__r.token_ids", "__r.round_trip")
 
 
 STAGES = [("language_id", language_id), ("ngram_jaccard_dedup", ngram_dedup), ("substring_dedup", substring_dedup), ("mix_sources", mix), ("bpe_encode", encode)]
