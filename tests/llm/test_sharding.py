@@ -86,6 +86,23 @@ def test_dissolved_and_untouched_shards(docs):
     assert not any(r.moved for r in same) and len(same) == len(rows)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.8])
+def test_a_hot_shard_gives_up_what_it_must(docs, share):
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.randrange(1, 60)), "en", "hot" if rng.random() < share else f"s{i % 19:02d}", 1) for i in range(3000)]
+    rows += rows[:50]
+    for capacities in (None, {f"t{i}": sum(len(r[1]) for r in rows) // 7 + 1 for i in range(7)}):
+        out = m.reshard(docs(rows), capacities).collect()
+        assert len(out) == len(rows)
+        sizes: dict[str, int] = {}
+        for r in out:
+            sizes[r.shard] = sizes.get(r.shard, 0) + len(r.text)
+        total = sum(sizes.values())
+        room = int(total * 1.05 / 24) + 1 if capacities is None else total // 7 + 1
+        assert max(sizes.values()) <= room + 2 * max(len(r[1]) for r in rows)  # rows that repeat are one document
+        assert len({(r.doc_id, r.shard) for r in out}) == 3000
+
+
 def test_edges(docs):
     assert m.reshard(docs([])).count() == 0
     with pytest.raises(ValueError, match="fit"):
