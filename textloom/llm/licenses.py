@@ -1,7 +1,8 @@
 """License scans by canonical digest lookup.
 
-A text is put in canonical form: lower case; lines that begin with a copyright statement dropped; everything but
-letters and digits a single space; equivalent spellings made one. Its SHA-256 is looked up among known licences by a
+A text is put in canonical form: lower case; lines that begin with a copyright statement dropped (but not those that
+go on with a sentence about copyright, as after a line break); everything but letters and digits a single space;
+equivalent spellings made one. Its SHA-256 is looked up among known licences by a
 hash join. Two kinds of text are looked up entire: the document (full licence texts), and each of its lines (notices
 such as "Released under the ... License.").
 
@@ -65,7 +66,12 @@ NOTICES = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
 )
-DROPPED = r"^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: What a sentence goes on with after "copyright", or after "(c)" as the number of an item, where a statement has a sign, a year or a name.
+SENTENCE = "notice|notices|holder|holders|owner|owners|ownership|owned|law|laws|license|licenses|licence|licences|statement|statements|permission|permissions|treaty|treaties|disclaimer|disclaimers|doctrine|doctrines|interest|interests|right|rights|protection|status|infringement|infringements|claim|claims|material|materials|work|works|act|term|terms|information|line|lines|legend|legends|header|headers|and|or|on|in|is|are|as|if|to|for|of|but|also|that|those|which|under|with|may|shall|will|must"
+ITEM = "you|your|we|it|its|the|a|an|any|all|each|every|no|not|this|that|these|those|such|to|in|on|of|for|from|by|with|without|under|if|when|where|and|or|as|at|is|are|be|must|may|shall|will|do|does|make|give|provide|include|use|keep|cause|prohibit|accompany|require"
+#: A year, or a place for one or for a name.
+YEAR = r"[ \t:,.-]*(?:\(c\)|©|[0-9]{2}|[\[<{])"
+DROPPED = rf"^[ \t]*(?:copyright(?:s|ed)?{YEAR}|copyright[ \t:]+(?!(?:{SENTENCE})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]|\(c\)(?![ \t]*(?:$|(?:{ITEM})(?![\p{{L}}\p{{N}}])))|©|all rights reserved)[^\n]*"
 SIGNS = r"[^\p{L}\p{N}]+"
 
 
@@ -78,7 +84,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """The same for one string, as the known texts are put in canonical form."""
-    out = re.sub(r"[\W_]+", " ", re.sub("(?m)" + DROPPED, "", text.lower())).strip(" ")
+    out = re.sub(r"[\W_]+", " ", re.sub("(?m)" + DROPPED.replace(r"[\p{L}\p{N}]", r"[^\W_]"), "", text.lower())).strip(" ")
     for a, b in SPELLINGS:
         out = out.replace(a, b)
     return out
@@ -110,8 +116,11 @@ def license_scan(docs: DataFrame, *, extra: tuple[tuple[str, str], ...] = ()) ->
 
 
 def _sql() -> str:
+    # the SQL has the rule by the first word only; it has no lookahead
+    dropped = r"^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+
     def form(x: str) -> str:
-        out = f"trim(regexp_replace(regexp_replace(lower({x}), '(?m){DROPPED}', '', 'g'), '{SIGNS}', ' ', 'g'), ' ')"
+        out = f"trim(regexp_replace(regexp_replace(lower({x}), '(?m){dropped}', '', 'g'), '{SIGNS}', ' ', 'g'), ' ')"
         for a, b in SPELLINGS:
             out = f"replace({out}, '{a}', '{b}')"
         return out
