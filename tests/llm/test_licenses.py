@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import textwrap
+from pathlib import Path
+
+import pytest
 
 from textloom.llm import licenses as m
 
@@ -71,3 +74,18 @@ def test_only_statements_are_dropped():
         assert m.canonical_text(line) == "", line
     for line in ("copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "copyright", "copyright, patent, trademark", "copyrighted by the Free", "(c) You must retain", "copyrights", "copyright on the Program"):
         assert m.canonical_text(line), line
+
+
+LONG = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/Apache-2.0").exists(), reason="texts come from Debian's base-files")
+def test_long_texts(docs):
+    rows, want = [], {}
+    for file, name in LONG.items():
+        text = (Path("/usr/share/common-licenses") / file).read_text()
+        end = text.find("END OF TERMS AND CONDITIONS")
+        for x in (text, text.upper(), text.replace("\n", "\r\n"), text[:end] if end > 0 else text, text[: len(text) // 2]):
+            want[len(rows)] = name if x != text[: len(text) // 2] else None
+            rows.append((len(rows), x))
+    assert {r.doc_id: r.license for r in m.license_scan(docs(rows)).collect()} == want
