@@ -107,3 +107,12 @@ def test_tiles_join_like_one(docs, monkeypatch):
     rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(999)}" for w in base)) for i in range(40)]
     monkeypatch.setattr(m, "TILE", 7)
     assert {(r.id_a, r.id_b): r.jaccard for r in m.ngram_jaccard_join(docs(rows)).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("tile", [2048, 30])
+def test_a_shared_passage_hides_no_pair(docs, monkeypatch, tile):
+    rng = random.Random(4)
+    passage = words(rng, 122)
+    rows = [(i, passage + " " + " ".join(f"p{i}_{k}" for k in range(rng.randrange(0, 81)))) for i in range(120)]
+    monkeypatch.setattr(m, "TILE", tile)
+    assert {(r.id_a, r.id_b): r.jaccard for r in m.ngram_jaccard_join(docs(rows), hot=10).collect()} == brute(rows)

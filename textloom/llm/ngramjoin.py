@@ -6,9 +6,10 @@ bitmaps below and the range of sizes; two trees are walked together, and a pair
 largest overlap that their bitmaps and sizes allow is below what the Jaccard threshold asks.
 
 Distribution. Documents with equal sets are one node. Nodes that share one of their ``q`` least n-gram hashes form a
-block; hashes in more than ``hot`` blocks' worth of nodes order last, so that passages that many documents share don't
-bind them. For a pair with Jaccard J the chance to share no block is (1-J)^q, 2e-5 at the defaults: this step alone is
-approximate. Trees over each block's bitmaps give the edges that the overlap bound can't exclude; their connected
+block; a node with a hash that more than ``hot`` nodes share is also put in the blocks of its least others, never instead.
+For a pair with Jaccard J the chance to share no block is at most (1-J)^q, 2e-5 at the defaults: this step alone is
+approximate. Blocks of more than TILE nodes are cut in tiles, and each two tiles are compared, so the work for a passage
+that many documents share grows with their square. Trees over each block's bitmaps give the edges that the overlap bound can't exclude; their connected
 components are the clusters. Each cluster's whole sets travel once, to one place (in tiles when large), where trees
 over them verify every pair exactly.
 
@@ -163,7 +164,7 @@ def _block_keys(hot: frozenset[int], q: int):
             for k, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 use = low[:q]
                 if not hot.isdisjoint(use):
-                    use = sorted(low, key=hot.__contains__)[:q]
+                    use = [*use, *(h for h in sorted(low, key=hot.__contains__)[:q] if h not in use)]
                 hs += use
                 ks += [k] * len(use)
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.binary())], ["h", "k"])
@@ -172,14 +173,18 @@ def _block_keys(hot: frozenset[int], q: int):
 
 
 def _block_edges(t: float):
-    """Within each block, a star over each group that the trees' candidate pairs connect."""
+    """Within each block, or two tiles of one, a star over each group that the trees' candidate pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in bundles(batches, 1):
+        for table, bounds in bundles(batches, 3):
             sizes, widths = table.column("size").to_pylist(), table.column("width").to_pylist()
             bits, keys = table.column("bits").to_pylist(), table.column("k").to_pylist()
+            i_of, j_of, tiles = table.column("i").to_pylist(), table.column("j").to_pylist(), table.column("tile").to_pylist()
             us, vs = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a < 2:
+                    continue
+                across = i_of[a] != j_of[a]  # pairs within a tile belong to the tile's own group
                 order = sorted(range(a, b), key=sizes.__getitem__)
                 items = [(sizes[i], widths[i], int.from_bytes(bits[i], "little")) for i in order]
                 up = list(range(len(items)))
@@ -190,6 +195,8 @@ def _block_edges(t: float):
                     return i
 
                 for i, j in candidates(items, t):
+                    if across and tiles[order[i]] == tiles[order[j]]:
+                        continue
                     if (x := root(i)) != (y := root(j)):
                         up[y] = x
                 for i in range(len(items)):
@@ -262,10 +269,12 @@ def _joined(docs: DataFrame, n: int, t: float, q: int, hot: int) -> tuple[DataFr
     often = frozenset(r.h for r in often.orderBy(F.desc("count"), "h").limit(HOT_KEPT).collect())
     keys = lows.mapInArrow(_block_keys(often, q), "h long, k binary")
     blocks = written(keys.groupBy("h").agg(F.array_sort(F.collect_set("k")).alias("ks")).where(F.size("ks") > 1).select("ks").distinct().select(F.xxhash64("ks").alias("block"), "ks"), "blocks")
-    inside = blocks.select("block", F.explode("ks").alias("k")).distinct()
+    inside = blocks.select("block", F.ceil(F.size("ks") / TILE).cast("int").alias("tiles"), F.explode("ks").alias("k")).distinct()
     sig = sigs.select("k", "size", "width", "bits").join(inside.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
-    placed = inside.join(sig, "k").select("block", "k", "size", "width", "bits")
-    edges = placed.repartition("block").sortWithinPartitions("block").mapInArrow(_block_edges(t), "u binary, v binary")
+    inside = inside.withColumn("tile", F.pmod(F.xxhash64("k"), "tiles").cast("int"))
+    placed = inside.join(sig, "k").select("block", F.explode(F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, tile) as i, greatest(x, tile) as j))")).alias("ij"), "tile", "k", "size", "width", "bits")
+    placed = placed.select("block", "ij.i", "ij.j", "tile", "k", "size", "width", "bits")
+    edges = placed.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_block_edges(t), "u binary, v binary")
     cluster = written(components(edges, "u", "v").select(F.col("__node").alias("k"), F.col("__root").alias("c")), "clusters")
     tiles = cluster.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     cluster = cluster.join(tiles, "c").select("c", "k", "tiles", F.pmod(F.xxhash64("k"), "tiles").cast("int").alias("tile"))
