@@ -84,3 +84,12 @@ def test_reader_on_its_own():
         with pytest.raises(ValueError, match="WARC|length"):
             list(m.records(io.BytesIO(junk), "f"))
     assert list(m.records(io.BytesIO(b""), "f")) == []
+
+
+@pytest.mark.parametrize("gz", [True, False])
+def test_urls_of_any_length(spark, tmp_path, gz):
+    rows = [(i, f"http://{i}/" + "é" * n, "<p>x</p>") for i, n in enumerate((5, 1 << 19, (1 << 20) - 120, 3 << 20, 7))]
+    files = m.write_warc(spark.createDataFrame(rows, KIND).coalesce(1), str(tmp_path / "w"), gzip=gz)
+    assert reread(m.read_warc(files).collect()) == Counter(rows)
+    with pytest.raises(ValueError, match="WARC"):
+        list(m.records(io.BytesIO(b"x" * (3 << 20)), "f"))

@@ -123,13 +123,15 @@ class Source:
         return out
 
     def header(self) -> bytes | None:
-        """Up to the next blank line; None at the end of the file."""
+        """Up to the next blank line; None at the end of the file. Only what doesn't begin like a header has a limit."""
+        seen = 0
         while True:
-            end = self.ready.find(b"\r\n\r\n", self.at)
+            end = self.ready.find(b"\r\n\r\n", self.at + max(0, seen - 3))
             if end >= 0:
                 out, self.at = self.ready[self.at : end], end + 4
                 return out
-            if len(self.ready) - self.at > HEADER_MOST:
+            seen = len(self.ready) - self.at
+            if seen > HEADER_MOST and not self.ready[self.at : self.at + 64].lstrip(b"\r\n").startswith(b"WARC/"):
                 raise ValueError("no WARC header: a blank line is missing")
             if not self.more():
                 if self.ready[self.at :].strip():
@@ -208,7 +210,7 @@ def _read(chunk: int):
                 with system.open_input_stream(name, compression=None) as stream:
                     for row in records(stream, file, chunk):
                         held.append(row)
-                        size += len(row[9]) + 300
+                        size += len(row[9]) + len(row[5] or "") + 300
                         if size >= BATCH:
                             yield batch(held)
                             held, size = [], 0
