@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 
+from textloom.llm import common
 from textloom.llm import ngramjoin as m
 
 from .conftest import words
@@ -36,26 +39,42 @@ def corpus(seed=5):
     return rows + [(900, rows[0][1]), (901, rows[0][1]), (902, "One Two"), (903, "one two"), (904, ""), (905, "  \n "), (906, None), (None, rows[1][1])]
 
 
-def test_join_matches_brute_force(docs):
-    rows = corpus()
-    got = {(r.id_a, r.id_b): r.jaccard for r in m.ngram_jaccard_join(docs(rows)).collect()}
-    assert got == brute(rows)
-    assert (902, 903) in got
-
-
-def test_dedup_keeps_the_least_of_each_group(docs):
-    rows = corpus(6)
-    up = {i: i for i, _ in rows if i is not None}
+def classes(rows):
+    """{(id, text): (class id, links)}, by all pairs."""
+    docs = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    numbered = list(enumerate(x or "" for _, x in docs))
+    up, links = list(range(len(docs))), [0] * len(docs)
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for a, b in brute(rows):
-        x, y = sorted((root(a), root(b)))
+    for i, j in brute(numbered):
+        links[i] += 1
+        links[j] += 1
+        x, y = sorted((root(i), root(j)))
         up[y] = x
-    want = sorted(i for i in up if root(i) == i)
+    return sorted(((docs[i][0], docs[root(i)][0], links[i]) for i in range(len(docs))), key=repr)
+
+
+def found(df):
+    return sorted(((r.doc_id, r.class_id, r.n_links) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("edges", [0, 400_000])
+@pytest.mark.parametrize(("chunk", "local", "parts"), [(2_000_000, 64, 1), (3000, 2, 5)])
+def test_join_matches_brute_force(docs, monkeypatch, edges, chunk, local, parts):
+    monkeypatch.setattr(common, "DRIVER_EDGES", edges)
+    rows = corpus()
+    got = found(m.ngram_jaccard_join(docs(rows), chunk_grams=chunk, local=local, parts=parts))
+    assert got == classes(rows)
+    assert (903, 902, 1) in got and len({c for _, c, _ in got}) < len(got)
+
+
+def test_dedup_keeps_the_least_of_each_class(docs):
+    rows = corpus(6)
+    want = sorted({c for _, c, _ in classes([r for r in rows if r[0] is not None])})
     kept = m.ngram_jaccard_dedup(docs(rows)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == want
     assert not [r for r in kept if r.doc_id is None]  # a copy of document 1, which comes before it
@@ -65,24 +84,45 @@ def test_edges(spark, docs):
     empty = docs([])
     assert m.ngram_jaccard_join(empty).count() == 0 and m.ngram_jaccard_dedup(empty).count() == 0
     long = " ".join(f"t{i}" for i in range(60_000))
-    rows = [(1, long, None, None, None, "a"), (2, long + " more", None, None, None, "b"), (2, long + " more", None, None, None, "b"), (3, None, "en", "s", 1, None), (4, "", "en", "s", 0, None)]
-    d = docs(rows, ", k string").selectExpr("*", "doc_id as `__id`", "text as `__text`", "1 as h", "2 as size", "3 as `__gone_id`")
-    assert [(r.id_a, r.id_b) for r in m.ngram_jaccard_join(d).collect()] == [(1, 2)]
+    rows = [(1, long, None, None, None, "a"), (2, long + " more", None, None, None, "b"), (2, long + " more", None, None, None, "b"), (3, None, "en", "s", 1, None), (4, "", "en", "s", 0, None), (None, None, "en", "s", 0, None)]
+    d = docs(rows, ", k string").selectExpr("*", "doc_id as `__id`", "text as `__text`", "1 as h", "2 as node", "3 as `__gone_id`")
+    assert found(m.ngram_jaccard_join(d)) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0), (None, None, 0)]
     kept = m.ngram_jaccard_dedup(d)
     assert kept.columns == d.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
     twins = docs([(5, "a b c d e"), (5, "a b c d e"), (6, "z y x w v")])
     assert sorted(r.doc_id for r in m.ngram_jaccard_dedup(twins).collect()) == [5, 5, 6]  # repeated rows are one document
+    only = docs([(5, None), (6, "")])
+    assert found(m.ngram_jaccard_join(only)) == [(5, 5, 0), (6, 6, 0)]
 
 
-@pytest.mark.parametrize("hot", [1, 2000])
-def test_passages_that_many_share_bind_nothing(docs, hot):
+def test_copies_count_without_pairs(docs):
+    rng = random.Random(8)
+    base, other = words(rng, 80), words(rng, 30)
+    rows = [(i, base) for i in range(300)] + [(500 + i, base + " tail") for i in range(200)] + [(900, other)]
+    assert found(m.ngram_jaccard_join(docs(rows))) == sorted([(i, 0, 499) for i, _ in rows[:500]] + [(900, 900, 0)], key=repr)
+
+
+def test_passages_that_many_share_bind_nothing(docs):
     rng = random.Random(1)
     passage = words(rng, 60)
     rows = [(i, words(rng, 90) + " " + passage) for i in range(60)]
     rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
-    got = {(r.id_a, r.id_b) for r in m.ngram_jaccard_join(docs(rows), hot=hot).collect()}
-    assert got == set(brute(rows)) == {(i, 100 + i) for i in range(5)}
+    got = found(m.ngram_jaccard_join(docs(rows), local=4))
+    assert got == classes(rows) and sum(n for _, _, n in got) == 10
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_shared_passage_hides_no_pair(docs, seed):
+    """3,000 documents of a common passage and private words: every link, wherever the passage's hashes fall."""
+    rng = random.Random(seed)
+    passage = words(rng, 30)
+    rows = [(i, passage + " " + " ".join(f"p{i}_{k}" for k in range(rng.randrange(5, 24)))) for i in range(3000)]
+    got = {r.doc_id: r.n_links for r in m.ngram_jaccard_join(docs(rows), local=10).collect()}
+    shared, sizes = 28, [len(x.split()) - 2 for _, x in rows]
+    count = Counter(sizes)
+    assert got == {i: sum(c for s, c in count.items() if shared >= m.THRESHOLD * (s + sizes[i] - shared) - 1e-9) - (shared >= m.THRESHOLD * (2 * sizes[i] - shared) - 1e-9) for i, _ in rows}
+    assert len(set(got.values())) > 3
 
 
 def test_the_bound_excludes_no_pair():
@@ -92,13 +132,10 @@ def test_the_bound_excludes_no_pair():
         base = rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64)
         for _ in range(4):
             sets.append(np.unique(np.where(rng.random(len(base)) < 0.9, base, rng.integers(0, 2**63, len(base), dtype=np.uint64))))
-    sets.sort(key=len)
-    found = set(m.candidates([(len(s), *m.bitmap(s)) for s in sets], 0.6))
-    for i, j in combinations(range(len(sets)), 2):
-        inter = len(np.intersect1d(sets[i], sets[j]))
-        if inter >= 0.6 * (len(sets[i]) + len(sets[j]) - inter):
-            assert (i, j) in found or (j, i) in found
-    assert len(found) < 1500
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if (x := len(np.intersect1d(sets[i], sets[j]))) >= 0.6 * (len(sets[i]) + len(sets[j]) - x)}
+    assert {(int(i), int(j)) for x, y in m.similar(sets, 0.6) for i, j in zip(x, y, strict=True)} == want
+    order = sorted(range(len(sets)), key=lambda x: (sets[x][0], len(sets[x])))
+    assert len(list(m.leaf_pairs([(len(sets[x]), *m.bitmap(sets[x])) for x in order], 0.6))) < 36  # of 8 leaves' 36 pairs
 
 
 def test_tiles_join_like_one(docs, monkeypatch):
@@ -106,13 +143,12 @@ def test_tiles_join_like_one(docs, monkeypatch):
     base = words(rng, 60).split()
     rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(999)}" for w in base)) for i in range(40)]
     monkeypatch.setattr(m, "TILE", 7)
-    assert {(r.id_a, r.id_b): r.jaccard for r in m.ngram_jaccard_join(docs(rows)).collect()} == brute(rows)
+    assert found(m.ngram_jaccard_join(docs(rows))) == classes(rows)
 
 
-@pytest.mark.parametrize("tile", [2048, 30])
-def test_a_shared_passage_hides_no_pair(docs, monkeypatch, tile):
-    rng = random.Random(4)
-    passage = words(rng, 122)
-    rows = [(i, passage + " " + " ".join(f"p{i}_{k}" for k in range(rng.randrange(0, 81)))) for i in range(120)]
-    monkeypatch.setattr(m, "TILE", tile)
-    assert {(r.id_a, r.id_b): r.jaccard for r in m.ngram_jaccard_join(docs(rows), hot=10).collect()} == brute(rows)
+def test_sql_says_the_same(docs, tmp_path):
+    rows = [(i, x) for i, x in corpus(7) if i is not None]
+    docs(rows).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert sorted(con.execute(m.SQL).fetchall(), key=repr) == found(m.ngram_jaccard_join(docs(rows)))

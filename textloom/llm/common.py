@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: row identity, shared storage, words, grouped batches.
+"""What the operators of this subpackage share: row identity, shared storage, words, grouped batches, components.
 
 Row identity. A document is named by ``(doc_id, xxhash64(text))``: rows that repeat both are one document and
 always get the same decision; rows that share only the doc_id stay apart.
@@ -10,6 +10,7 @@ columns are never read by name, so extra columns may have any name.
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -27,9 +28,10 @@ BROADCAST_ROWS = 400_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts may be long, and a worker holds one batch at a time."""
+    """Keep Arrow batches small, as texts may be long and a worker holds one batch at a time. Lasts for the session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 _held: dict[Hashable, Any] = {}
@@ -51,12 +53,19 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); without one, as in tests, a folder below the warehouse."""
+    """The cluster's shared folder, which spark.checkpoint.dir names.
+
+    Without one in the session, as in tests, a folder below the warehouse, but only if everything runs in one process;
+    on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -65,14 +74,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage, and survives the loss of any executor."""
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+    """df as a table written to the shared folder: cuts lineage, and survives the loss of any executor.
+
+    into: gets the table's path, for dropped() once what was made from it is written too.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    while paths:
+        delete(spark, paths.pop())
+
+
 def text_hash(text: Column | str = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
@@ -122,13 +147,6 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Whole groups of a stream sorted by its first ``keys`` columns, one table for each group."""
-    for table, bounds in bundles(batches, keys):
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield table.slice(a, b - a)
-
-
 def bundles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
     """Whole groups of a sorted stream, many at once: a table and the bounds of its groups. A group is held whole."""
     held: list[pa.RecordBatch] = []
@@ -169,20 +187,46 @@ def bundles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.T
         yield cut(pa.Table.from_batches(held))
 
 
+#: Edges up to which the driver joins them; beyond, rounds of joins do.
+DRIVER_EDGES = 400_000
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(__node, __root) of an undirected graph, __root the least node of each component; alternating stars.
+    """(__node, __root) of an undirected graph, __root the least node of each component.
 
-    Edges with a null end are left out. Each round is checkpointed; rounds grow with the logarithm of the longest path.
+    Edges with a null end are left out. Few edges, as counted, are joined on the driver. More go through alternating
+    stars: in each round every node hands its neighbours the least node it knows, by aggregation and join, so that no
+    task holds a node's neighbours; rounds grow with the logarithm of the longest path and are checkpointed.
     """
-    shared_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    shared_dir(spark)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct().checkpoint()
+    kind = e.schema["u"].dataType.simpleString()
+    if e.count() <= DRIVER_EDGES:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        table = e.toArrow()
+        for u, v in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
+            x, y = root(u), root(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        of = pa.from_numpy_dtype(np.int64) if kind == "bigint" else table.schema.field(0).type
+        found = pa.table({"__node": pa.array(nodes, of), "__root": pa.array([root(x) for x in nodes], of)})
+        return spark.createDataFrame(found) if nodes else spark.createDataFrame([], f"__node {kind}, __root {kind}")
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("vs")).select("u", F.least("u", "m").alias("m"), "vs")
-        large = near.select(F.explode(F.filter("vs", lambda v: v > F.col("u"))).alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        small = low.select(F.explode(F.concat(F.filter("vs", lambda v: v != F.col("m")), F.array("u"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = large.join(low, "u")
+        small = ends.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = small
         if tuple(now) == seen:

@@ -3,20 +3,31 @@
 A document's set holds the hashes of its word n-grams (lower case; fewer than n words: one gram of them all). Its
 signature is a bitmap with four to eight bits for each n-gram, and its set size. A tree's nodes hold the OR of the
 bitmaps below and the range of sizes; two trees are walked together, and a pair of nodes is left as soon as the
-largest overlap that their bitmaps and sizes allow is below what the Jaccard threshold asks.
-
-Distribution. Documents with equal sets are one node. Nodes that share one of their ``q`` least n-gram hashes form a
-block; a node with a hash that more than ``hot`` nodes share is also put in the blocks of its least others, never instead.
-For a pair with Jaccard J the chance to share no block is at most (1-J)^q, 2e-5 at the defaults: this step alone is
-approximate. Blocks of more than TILE nodes are cut in tiles, and each two tiles are compared, so the work for a passage
-that many documents share grows with their square. Trees over each block's bitmaps give the edges that the overlap bound can't exclude; their connected
-components are the clusters. Each cluster's whole sets travel once, to one place (in tiles when large), where trees
-over them verify every pair exactly.
-
-Defined results. Null and empty texts (no word) have no set: they pair with nothing and stay. A null doc_id can't be
-named in a pair; such a document still counts in dedup. Rows that repeat doc_id and text are one document. Ties: of a
-group, the document with the least (doc_id, hash of the text) stays, null doc_ids after all others. Empty tables give
-empty results. Other columns are carried and never read.
+largest overlap that their bitmaps and sizes allow is below what the Jaccard threshold asks. Pairs of leaves that
+remain are compared exactly.
+
+Distribution. What goes into one tree follows from an exact prefix filter. With a set's grams in the order of
+(documents that have it, hash), rarest first, two sets at the threshold t share a gram among the first
+size - ceil(t * size) + 1 of each. Grams that one document alone has can't be shared, so most documents drop out here,
+and passages that many documents share come last. The steps:
+
+1. Equal texts are one document from here on (by two 64-bit hashes); their number is a weight.
+2. Chunks of documents send 32 bits of each gram hash, and 16 for the document, packed, to the gram's part. Grams
+   that more than LOCAL documents of a chunk have go as a count, so no gram has more entries in a part than LOCAL times
+   the chunks. Parts count the documents of each gram and tell the chunks those of grams seen twice. (Different grams that share a
+   part and 32 bits count as one, which only makes them look more frequent; the order stays the same everywhere.)
+3. Chunks take each document's prefix. Documents that share a gram of their prefixes are tied to the first of them,
+   within the chunk first; connected ones are a cluster. Every pair at the threshold lies in a cluster.
+4. The sets of clusters (not of the other documents) travel once, to trees; clusters of more than TILE
+   documents are cut in tiles, and each two tiles are compared.
+
+No step drops a pair, whatever the data. The work within a cluster grows with the square of its different texts as far as
+the trees exclude nothing, as the exact number of links asks; nothing that is written grows faster than the documents.
+
+Defined results. A document is (doc_id, text); rows that repeat both are one. Null and empty texts (no word) have no
+set: they have no links and stay. A null doc_id is a document like any other. Ties: a class is named by, and of a
+class stays, the document with the least (doc_id, hash of the text), null doc_ids after all others. Empty tables
+give empty results. Other columns are carried and never read.
 """
 
 from __future__ import annotations
@@ -25,14 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, bundles, components, give_back, keyed, prepare, rolled, sized, text_hash, written
+from .common import WORD, WordHash, bundles, components, dropped, give_back, keyed, prepare, rolled, sized, text_hash, written
 
-N, THRESHOLD, Q, KEPT, HOT, HOT_KEPT, TILE = 3, 0.6, 12, 36, 2000, 50_000, 2048
-LEAF, FAN = 16, 8
+N, THRESHOLD, TILE, LOCAL = 3, 0.6, 2048, 64
+#: Grams in a chunk, about; bytes of text for a part of the grams, and the most parts.
+CHUNK_GRAMS, PART_BYTES, PARTS = 2_000_000, 16 << 20, 65_536
+LEAF, FAN, COLUMNS = 32, 8, 1 << 15
 
 
 def gram_set(text: str, n: int, hashes: WordHash) -> np.ndarray:
@@ -66,7 +79,7 @@ class Node:
 
 
 def build(items: list[tuple[int, int, int]]) -> Node:
-    """A tree over (size, width, bits), which are sorted by size. Leaves' kids are item numbers."""
+    """A tree over (size, width, bits) in the order given: like sets should be neighbours. Leaves' kids are item numbers."""
     level = []
     for a in range(0, len(items), LEAF):
         part = items[a : a + LEAF]
@@ -76,7 +89,7 @@ def build(items: list[tuple[int, int, int]]) -> Node:
             x = folded(x, w, width)
             bits |= x
             clash = max(clash, size - x.bit_count())
-        level.append(Node(part[0][0], part[-1][0], width, bits, clash, list(range(a, a + len(part)))))
+        level.append(Node(min(i[0] for i in part), max(i[0] for i in part), width, bits, clash, list(range(a, a + len(part)))))
     while len(level) > 1:
         up = []
         for a in range(0, len(level), FAN):
@@ -86,7 +99,7 @@ def build(items: list[tuple[int, int, int]]) -> Node:
                 bits |= folded(x.bits, x.width, width)
             # a fold of w/2^k merges at most what the bitmap lost in bits, which only the sets know: take the whole size
             clash = max(x.clash if x.width == width else x.hi for x in part)
-            up.append(Node(part[0].lo, part[-1].hi, width, bits, clash, part))
+            up.append(Node(min(x.lo for x in part), max(x.hi for x in part), width, bits, clash, part))
         level = up
     return level[0]
 
@@ -105,30 +118,17 @@ def possible(a: Node, b: Node, t: float) -> bool:
     return most * (1 + t) >= t * (a.lo + b.lo) - 1e-9
 
 
-def candidates(items: list[tuple[int, int, int]], t: float) -> Iterator[tuple[int, int]]:
-    """Pairs of items (sorted by size) that dual traversal of their tree can't exclude."""
+def leaf_pairs(items: list[tuple[int, int, int]], t: float) -> Iterator[tuple[list[int], list[int]]]:
+    """Pairs of leaves (item numbers; a leaf with itself, too) that dual traversal of the items' tree can't exclude."""
     root = build(items)
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
-        if a is not b and not possible(a, b, t):
+        if not possible(a, b, t):  # a node with itself, too: all below may be alone
             continue
         leaf_a, leaf_b = isinstance(a.kids[0], int), isinstance(b.kids[0], int)
         if leaf_a and leaf_b:
-            for i in a.kids:
-                si, wi, xi = items[i]
-                for j in b.kids:
-                    if a is b and j <= i:
-                        continue
-                    sj, wj, xj = items[j]
-                    if si < t * sj or sj < t * si:
-                        continue
-                    w = min(wi, wj)
-                    fi, fj = (xi, xj) if wi == wj else (folded(xi, wi, w), folded(xj, wj, w))
-                    both = (fi & fj).bit_count()
-                    most = min(si - fi.bit_count(), sj - fj.bit_count()) + both
-                    if most * (1 + t) >= t * (si + sj) - 1e-9:
-                        yield i, j
+            yield a.kids, b.kids
         elif a is b:
             stack += [(x, y) for i, x in enumerate(a.kids) for y in a.kids[i:]]
         elif leaf_b or (not leaf_a and a.hi - a.lo >= b.hi - b.lo):
@@ -137,185 +137,354 @@ def candidates(items: list[tuple[int, int, int]], t: float) -> Iterator[tuple[in
             stack += [(a, x) for x in b.kids]
 
 
-SIGNATURES = pa.schema([("__id", pa.int64()), ("__th", pa.int64()), ("k", pa.binary()), ("size", pa.int32()), ("width", pa.int32()), ("bits", pa.binary()), ("low", pa.list_(pa.int64()))])
+class Leaf:
+    """The grams of a leaf's sets: all, which set has each, and the different ones, sorted."""
+
+    __slots__ = ("grams", "row", "sizes", "unique")
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.grams = np.concatenate(sets)
+        self.row = np.repeat(np.arange(len(sets)), self.sizes)
+        self.unique = np.unique(self.grams)
+
+
+def overlaps(a: Leaf, b: Leaf) -> np.ndarray:
+    """[i, j]: the grams that set i of a and set j of b share."""
+    common = a.unique if a is b else np.intersect1d(a.unique, b.unique, assume_unique=True)
+    out = np.zeros((len(a.sizes), len(b.sizes)))
+    if not len(common):
+        return out
+    at = []
+    for x in (a, b):
+        place = np.minimum(np.searchsorted(common, x.grams), len(common) - 1)
+        hit = common[place] == x.grams
+        at.append((x.row[hit], place[hit]))
+    for lo in range(0, len(common), COLUMNS):
+        sides = []
+        for (row, place), x in zip(at, (a, b), strict=True):
+            m = np.zeros((len(x.sizes), min(COLUMNS, len(common) - lo)), np.float32)
+            now = (place >= lo) & (place < lo + COLUMNS)
+            m[row[now], place[now] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def similar(sets: list[np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of the sets whose Jaccard similarity is at least t."""
+    order = sorted(range(len(sets)), key=lambda x: (sets[x][0], len(sets[x])))  # by the least hash: like sets are neighbours
+    leaves: dict[int, Leaf] = {}
+    for p, q in leaf_pairs([(len(sets[x]), *bitmap(sets[x])) for x in order], t):
+        for k in (p, q):
+            if k[0] not in leaves:
+                leaves[k[0]] = Leaf([sets[order[x]] for x in k])
+        a, b = leaves[p[0]], leaves[q[0]]
+        inter = overlaps(a, b)
+        i, j = np.nonzero(inter >= t * (a.sizes[:, None] + b.sizes - inter) - 1e-9)
+        x, y = np.array(order)[np.array(p)[i]], np.array(order)[np.array(q)[j]]
+        keep = x < y if a is b else np.ones(len(x), bool)
+        yield np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+
+
+#: What chunks and parts tell each other; what a chunk keeps for itself goes through a part unchanged.
+SENT = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+SENT_DDL = "to int, chunk long, kind int, a binary, b binary, c binary"
+GRAMS, COUNTS, DOCS, OFTEN = range(4)
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
+
+
+def _tokens(n: int, parts: int, chunk_grams: int, local: int):
+    """(id, th, text) to the packed grams of chunks. A gram's token is (part << 32) | 32 bits."""
 
-
-def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        for batch in batches:
+        hashes, number = WordHash(), TaskContext.get().partitionId() << 24
+        held: list[np.ndarray] = []
+        docs: list[tuple] = []
+        total = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            grams = np.concatenate(held)
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            token = (((grams >> np.uint64(32)) * np.uint64(parts)) & ~np.uint64(0xFFFFFFFF)) | (grams & np.uint64(0xFFFFFFFF))
+            order = np.argsort(token)
+            token, doc = token[order], np.repeat(np.arange(len(held)), sizes)[order].astype(np.uint16)
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            count = np.diff(np.append(start, len(token)))
+            often = np.repeat(count > local, count)
+            few, few_doc, many = token[~often], doc[~often], start[count > local]
+            bounds = [np.searchsorted(x >> np.uint64(32), np.arange(parts + 1)) for x in (few, token[many])]
             rows = []
+            for p in range(parts):
+                a, z = bounds[0][p : p + 2]
+                if z > a:
+                    rows.append((p, number, GRAMS, few[a:z].astype(np.uint32).tobytes(), few_doc[a:z].tobytes(), None))
+                a, z = bounds[1][p : p + 2]
+                if z > a:
+                    rows.append((p, number, COUNTS, token[many[a:z]].astype(np.uint32).tobytes(), None, count[count > local][a:z].astype(np.uint32).tobytes()))
+            mine = number % parts
+            ids, ths = zip(*docs, strict=True)
+            rows.append((mine, number, DOCS, np.array([0 if x is None else x for x in ids], np.int64).tobytes() + np.array(ths, np.int64).tobytes(), sizes.astype(np.uint32).tobytes(), np.array([x is None for x in ids], np.uint8).tobytes()))
+            if often.any():
+                rows.append((mine, number, OFTEN, token[often].tobytes(), doc[often].tobytes(), None))
+            for x in range(0, len(rows), 256):
+                yield _sent(rows[x : x + 256])
+
+        for batch in batches:
             for i, th, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 grams = gram_set(text, n, hashes)
-                if len(grams):
-                    width, bits = bitmap(grams)
-                    rows.append((i, th, xxhash.xxh128_digest(grams.tobytes()), len(grams), width, bits.to_bytes(width // 8, "little"), grams[:KEPT].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SIGNATURES, strict=True)] if rows else [pa.array([], f.type) for f in SIGNATURES], schema=SIGNATURES)
+                if not len(grams):
+                    continue
+                held.append(grams)
+                docs.append((i, th))
+                total += len(grams)
+                if total >= chunk_grams or len(held) == 1 << 16:
+                    yield from flush()
+                    held, docs, total, number = [], [], 0, number + 1
+        if held:
+            yield from flush()
         del hashes
         give_back()
 
     return run
 
 
-def _block_keys(hot: frozenset[int], q: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs, ks = [], []
-            for k, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                use = low[:q]
-                if not hot.isdisjoint(use):
-                    use = [*use, *(h for h in sorted(low, key=hot.__contains__)[:q] if h not in use)]
-                hs += use
-                ks += [k] * len(use)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.binary())], ["h", "k"])
-
-    return run
-
-
-def _block_edges(t: float):
-    """Within each block, or two tiles of one, a star over each group that the trees' candidate pairs connect."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part, what it tells the chunks: the documents that have each gram which more than one has."""
+    grams: dict[int, list[tuple]] = {}
+    counts: dict[int, list[tuple]] = {}
+    for batch in batches:
+        own = []
+        for to, chunk, kind, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if kind == GRAMS:
+                grams.setdefault(to, []).append((chunk, a, b))
+            elif kind == COUNTS:
+                counts.setdefault(to, []).append((chunk, a, c))
+            else:
+                own.append((to, chunk, kind, a, b, c))
+        if own:
+            yield _sent(own)
+    for to in sorted(set(grams) | set(counts)):
+        few, many = grams.pop(to, []), counts.pop(to, [])
+        tokens = np.concatenate([np.frombuffer(x[1], np.uint32) for x in (*few, *many)])
+        ones = sum(len(x[1]) for x in few) // 4
+        weight = np.concatenate((np.ones(ones, np.int64), *(np.frombuffer(x[2], np.uint32).astype(np.int64) for x in many)))
+        order = np.argsort(tokens)
+        t = tokens[order]
+        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        df = np.empty(len(t), np.int64)
+        df[order] = np.repeat(np.add.reduceat(weight[order], start), np.diff(np.append(start, len(t))))
+        df = np.minimum(df, 0xFFFFFFFF).astype(np.uint32)
+        rows, at = [], 0
+        for kind, of in ((GRAMS, few), (COUNTS, many)):
+            for chunk, a, b in of:
+                size = len(a) // 4
+                mine = df[at : at + size]
+                at += size
+                twice = mine > 1
+                if twice.any():
+                    doc = np.frombuffer(b, np.uint16)[twice].tobytes() if kind == GRAMS else None
+                    rows.append((to, chunk, kind, np.frombuffer(a, np.uint32)[twice].tobytes(), doc, mine[twice].tobytes()))
+        for x in range(0, len(rows), 256):
+            yield _sent(rows[x : x + 256])
+    give_back()
+
+
+PREFIX = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("id", pa.int64()), ("th", pa.int64())])
+PREFIX_DDL = "kind int, token long, u long, v long, id long, th long"
+ENTRY, EDGE, NAME = range(3)
+
+
+def _prefixes(t: float):
+    """For each chunk: (token, first document of the chunk with it), edges to that one from the others, and names of the documents."""
+
+    def rows(kind: int, n: int, **cols: np.ndarray | pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *(cols[f.name] if isinstance(cols.get(f.name), pa.Array) else pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in list(PREFIX)[1:])], schema=PREFIX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in bundles(batches, 3):
-            sizes, widths = table.column("size").to_pylist(), table.column("width").to_pylist()
-            bits, keys = table.column("bits").to_pylist(), table.column("k").to_pylist()
-            i_of, j_of, tiles = table.column("i").to_pylist(), table.column("j").to_pylist(), table.column("tile").to_pylist()
-            us, vs = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a < 2:
-                    continue
-                across = i_of[a] != j_of[a]  # pairs within a tile belong to the tile's own group
-                order = sorted(range(a, b), key=sizes.__getitem__)
-                items = [(sizes[i], widths[i], int.from_bytes(bits[i], "little")) for i in order]
-                up = list(range(len(items)))
-
-                def root(i: int, up: list[int] = up) -> int:
-                    while up[i] != i:
-                        up[i] = i = up[up[i]]
-                    return i
-
-                for i, j in candidates(items, t):
-                    if across and tiles[order[i]] == tiles[order[j]]:
-                        continue
-                    if (x := root(i)) != (y := root(j)):
-                        up[y] = x
-                for i in range(len(items)):
-                    if (x := root(i)) != i:
-                        us.append(keys[order[i]])
-                        vs.append(keys[order[x]])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+        chunks: dict[int, dict[int, list[tuple]]] = {}
+        for batch in batches:
+            for to, chunk, kind, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                chunks.setdefault(chunk, {}).setdefault(kind, []).append((to, a, b, c))
+        for chunk in sorted(chunks):
+            got = chunks.pop(chunk)
+            _, names, sizes, none = got[DOCS][0]
+            size = np.frombuffer(sizes, np.uint32).astype(np.int64)
+            names = np.frombuffer(names, np.int64)
+
+            def column(kind: int, at: int, of: type, got: dict = got) -> np.ndarray:
+                return np.concatenate([np.zeros(0, of), *(np.frombuffer(x[at], of) for x in got.get(kind, []))])
+
+            def tokens(kind: int, got: dict = got) -> np.ndarray:
+                return np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[1], np.uint32).astype(np.uint64) | np.uint64(x[0] << 32) for x in got.get(kind, []))])
+
+            token, doc, df = tokens(GRAMS), column(GRAMS, 2, np.uint16), column(GRAMS, 3, np.uint32)
+            if OFTEN in got:
+                known, known_df = tokens(COUNTS), column(COUNTS, 3, np.uint32)
+                order = np.argsort(known)
+                often = column(OFTEN, 1, np.uint64)
+                token, doc = np.concatenate((token, often)), np.concatenate((doc, column(OFTEN, 2, np.uint16)))
+                df = np.concatenate((df, known_df[order][np.searchsorted(known[order], often)]))
+            order = np.lexsort((token, df, doc))
+            token, doc = token[order], doc[order].astype(np.int64)
+            seen = np.bincount(doc, minlength=len(size))
+            place = np.arange(len(doc)) - (np.cumsum(seen) - seen)[doc] + (size - seen)[doc]
+            keep = place < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[doc]
+            token, doc = token[keep], doc[keep]
+            if not len(token):
+                continue
+            order = np.lexsort((doc, token))
+            token, doc = token[order], doc[order]
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            first = np.repeat(doc[start], np.diff(np.append(start, len(token))))
+            yield rows(ENTRY, len(start), token=token[start].view(np.int64), u=doc[start] | (chunk << 16))
+            pair = np.unique((first << 16 | doc)[first != doc])
+            if len(pair):
+                yield rows(EDGE, len(pair), u=(pair >> 16) | (chunk << 16), v=(pair & 0xFFFF) | (chunk << 16))
+            some = np.unique(doc)
+            ids = pa.array(names[: len(size)][some], mask=np.frombuffer(none, np.uint8)[some] > 0)
+            yield rows(NAME, len(some), u=some | (chunk << 16), id=ids, th=names[len(size) :][some])
         give_back()
 
     return run
 
 
-SETS = pa.schema([("k", pa.binary()), ("size", pa.int32()), ("grams", pa.binary())])
+SETS = pa.schema([("c", pa.int64()), ("tiles", pa.int32()), ("tile", pa.int32()), ("node", pa.int64()), ("w", pa.int64()), ("grams", pa.binary())])
 
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            sets = [gram_set(x, n, hashes) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=SETS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in range(5)), pa.array([gram_set(x, n, hashes).tobytes() for x in batch.column(5).to_pylist()], pa.binary())], schema=SETS)
         del hashes
         give_back()
 
     return run
 
 
-PAIRS = pa.schema([("ka", pa.binary()), ("kb", pa.binary()), ("inter", pa.int32()), ("either", pa.int32())])
+LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
 
+def _links(t: float):
+    """For each two tiles of a cluster: (node, documents that it is linked to, least node that its links lead to)."""
 
-def _cluster_pairs(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in bundles(batches, 3):
-            keys, grams, tiles = table.column("k").to_pylist(), table.column("grams").to_pylist(), table.column("tile").to_pylist()
-            i_of, j_of = table.column("i").to_pylist(), table.column("j").to_pylist()
-            rows = []
+            tiles, i_of, j_of = (table.column(x).to_numpy() for x in ("tile", "i", "j"))
+            node, weight, grams = table.column("node").to_numpy(), table.column("w").to_numpy(), table.column("grams")
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a < 2:
+                _, own = np.unique(node[a:b], return_index=True)  # repeated rows come twice
+                own += a
+                if len(own) < 2:
                     continue
-                sets = {x: np.frombuffer(grams[x], np.uint64) for x in range(a, b)}
-                order = sorted(range(a, b), key=lambda x, s=sets: len(s[x]))
+                nodes, w, tile = node[own], weight[own], tiles[own]
                 across = i_of[a] != j_of[a]  # pairs within a tile belong to the tile's own group
-                quick: dict[int, frozenset] = {}
-                for i, j in candidates([(len(sets[x]), *bitmap(sets[x])) for x in order], t):
-                    x, y = order[i], order[j]
-                    if across and tiles[x] == tiles[y]:
-                        continue
-                    for z in (x, y):
-                        if z not in quick:
-                            quick[z] = frozenset(sets[z].tolist())
-                    inter = len(quick[x] & quick[y])
-                    either = len(sets[x]) + len(sets[y]) - inter
-                    if inter >= t * either - 1e-9:
-                        rows.append((*sorted((keys[x], keys[y])), inter, either))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PAIRS, strict=True)] if rows else [pa.array([], f.type) for f in PAIRS], schema=PAIRS)
+                links, up = np.zeros(len(own), np.int64), np.arange(len(own))
+                for i, j in similar([np.frombuffer(grams[x].as_py(), np.uint64) for x in own.tolist()], t):
+                    if across:
+                        far = tile[i] != tile[j]
+                        i, j = i[far], j[far]
+                    np.add.at(links, i, w[j])
+                    np.add.at(links, j, w[i])
+                    up = joined(up, i, j)
+                some = links > 0
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[up[some]])], schema=LINKS)
         give_back()
 
     return run
 
 
-def _joined(docs: DataFrame, n: int, t: float, q: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """members (k, __id, __th) of every set, and pairs (ka, kb, inter, either) of distinct sets at the threshold."""
-    spark = docs.sparkSession
+def joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """up (each item's least fellow, itself a fellow of its own) after joining items i with items j."""
+    while len(i):
+        a, b = up[i], up[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        to = up.copy()
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to = to[to]
+        up = to[up]
+    return up
+
+
+def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, parts: int | None = None, chunk_grams: int = CHUNK_GRAMS, local: int = LOCAL) -> DataFrame:
+    """(id, th, class_none, class_id, class_th, n_links) of every document that has a word, as a written table."""
+    spark, scratch = docs.sparkSession, []
     prepare(spark)
-    base = keyed(docs)
-    sigs = written(base.mapInArrow(_signatures(n), "__id long, __th long, k binary, size int, width int, bits binary, low array<long>"), "signatures")
-    members = sigs.select("k", "__id", "__th").distinct()
-    lows = sigs.select("k", "low").dropDuplicates(["k"])
-    often = lows.select(F.explode(F.slice("low", 1, q)).alias("h")).groupBy("h").count().where(F.col("count") > hot)
-    often = frozenset(r.h for r in often.orderBy(F.desc("count"), "h").limit(HOT_KEPT).collect())
-    keys = lows.mapInArrow(_block_keys(often, q), "h long, k binary")
-    blocks = written(keys.groupBy("h").agg(F.array_sort(F.collect_set("k")).alias("ks")).where(F.size("ks") > 1).select("ks").distinct().select(F.xxhash64("ks").alias("block"), "ks"), "blocks")
-    inside = blocks.select("block", F.ceil(F.size("ks") / TILE).cast("int").alias("tiles"), F.explode("ks").alias("k")).distinct()
-    sig = sigs.select("k", "size", "width", "bits").join(inside.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
-    inside = inside.withColumn("tile", F.pmod(F.xxhash64("k"), "tiles").cast("int"))
-    placed = inside.join(sig, "k").select("block", F.explode(F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, tile) as i, greatest(x, tile) as j))")).alias("ij"), "tile", "k", "size", "width", "bits")
-    placed = placed.select("block", "ij.i", "ij.j", "tile", "k", "size", "width", "bits")
-    edges = placed.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_block_edges(t), "u binary, v binary")
-    cluster = written(components(edges, "u", "v").select(F.col("__node").alias("k"), F.col("__root").alias("c")), "clusters")
-    tiles = cluster.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    cluster = cluster.join(tiles, "c").select("c", "k", "tiles", F.pmod(F.xxhash64("k"), "tiles").cast("int").alias("tile"))
-    one = written(cluster.join(members, "k").groupBy("c", "k", "tiles", "tile").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th")).alias("d")).select("c", "k", "tiles", "tile", F.col("d.__id").alias("id"), F.col("d.__th").alias("th")), "chosen")
-    texts = base.join(sized(one), F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("k", "__text").mapInArrow(_sets(n), "k binary, size int, grams binary").dropDuplicates(["k"])
-    tiled = texts.join(one.select("c", "k", "tiles", "tile"), "k").select("c", F.explode(F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, tile) as i, greatest(x, tile) as j))")).alias("ij"), "tile", "k", "grams")
-    tiled = tiled.select("c", "ij.i", "ij.j", "tile", "k", "grams").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
-    return members, written(tiled.mapInArrow(_cluster_pairs(t), "ka binary, kb binary, inter int, either int"), "pairs")
-
-
-def ngram_jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, q: int = Q, hot: int = HOT) -> DataFrame:
-    """(id_a, id_b, jaccard) of all pairs id_a < id_b whose word n-gram sets have at least the Jaccard threshold.
-
-    jaccard is rounded to six digits. A doc_id with several texts gives its best pair with any other doc_id.
+    base = keyed(docs).where(F.col("__text").rlike(WORD))
+    one = base.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.xxhash64("__text", F.lit(7)).alias("th2"), F.octet_length("__text").cast("long").alias("bytes"))
+    one = one.groupBy("id", "th", "th2").agg(F.max("bytes").alias("bytes"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    named = written(one, "documents", scratch)
+    texts = written(named.groupBy("th", "th2").agg(F.count("*").alias("w"), F.min(rank).alias("rep"), F.max("bytes").alias("bytes")), "texts", scratch)
+    if parts is None:
+        parts = max(1, min(PARTS, -(-(texts.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // PART_BYTES)))
+    many = texts.where("w > 1").select("th", "th2", F.col("rep.id").alias("rid"))
+    gone = written(named.join(many, ["th", "th2"]).where(~F.col("id").eqNullSafe(F.col("rid"))).select(F.col("id").alias("gid"), F.col("th").alias("gth")), "copies", scratch)
+    first = base.join(sized(gone), F.col("__id").eqNullSafe(F.col("gid")) & (F.col("__th") == F.col("gth")), "left_anti")
+    sent = first.mapInArrow(_tokens(n, parts, chunk_grams, local), SENT_DDL).repartition(parts, "to").mapInArrow(_frequencies, SENT_DDL)
+    prefixes = written(sent.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), PREFIX_DDL), "prefixes", scratch)
+    entries = prefixes.where(F.col("kind") == ENTRY).select("token", "u")
+    ties = entries.join(entries.groupBy("token").agg(F.min("u").alias("v")), "token").where("u <> v").select("u", "v")
+    cluster = components(ties.union(prefixes.where(F.col("kind") == EDGE).select("u", "v")), "u", "v").select(F.col("__node").alias("u"), F.col("__root").alias("c"))
+    cluster = cluster.join(prefixes.where(F.col("kind") == NAME).select("u", "id", "th"), "u").groupBy("c", "id", "th").agg(F.min("u").alias("node"))
+    weights = many.join(texts.select("th", "th2", "w"), ["th", "th2"]).select(F.col("th").alias("wth"), F.col("rid"), "w")
+    cluster = cluster.join(weights, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("rid")), "left").select("c", "id", "th", "node", F.coalesce("w", F.lit(1)).alias("w"))
+    cluster = written(cluster, "clusters", scratch)
+    tiles = cluster.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    members = cluster.join(tiles, "c", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    members = written(members, "members", scratch)
+    sets = first.join(sized(members), F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("c", "tiles", "tile", "node", "w", "__text")
+    sets = sets.mapInArrow(_sets(n), "c long, tiles int, tile int, node long, w long, grams binary")
+    tiled = sets.select("c", F.explode(F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, tile) as i, greatest(x, tile) as j))")).alias("ij"), "tile", "node", "w", "grams")
+    tiled = tiled.select("c", "ij.i", "ij.j", "tile", "node", "w", "grams").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    links = written(tiled.mapInArrow(_links(threshold), "node long, links long, root long"), "links", scratch)
+    root = components(links, "node", "root").select(F.col("__node").alias("node"), F.col("__root").alias("root"))
+    found = links.groupBy("node").agg(F.sum("links").alias("links")).join(root, "node").join(members.select("node", "id", "th"), "node")
+    best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    found = found.join(best, "root").select(F.col("id").alias("fid"), F.col("th").alias("fth"), "links", "best")
+    classes = texts.join(found, (F.col("th") == F.col("fth")) & F.col("rep.id").eqNullSafe(F.col("fid")), "left")
+    classes = classes.select("th", "th2", F.coalesce("best", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    out = named.join(classes, ["th", "th2"]).select("id", "th", F.col("class.none").alias("class_none"), F.col("class.id").alias("class_id"), F.col("class.th").alias("class_th"), "n_links")
+    out = written(out, "classes")
+    dropped(spark, scratch)
+    return out
+
+
+def ngram_jaccard_join(docs: DataFrame, **kw) -> DataFrame:
+    """(doc_id, class_id, n_links), a row for each document.
+
+    n_links counts the other documents whose word n-gram sets have at least the Jaccard threshold with its own;
+    documents that links connect, over others too, are a class, and class_id is the least doc_id of it.
     """
-    members, pairs = _joined(docs, n, threshold, q, hot)
-    named = members.where("__id is not null").select("k", F.col("__id").alias("id")).distinct()
-    a, b = named.select(F.col("k").alias("ka"), F.col("id").alias("ia")), named.select(F.col("k").alias("kb"), F.col("id").alias("ib"))
-    near = pairs.join(a, "ka").join(b, "kb").select("ia", "ib", F.round(F.col("inter") / F.col("either"), 6).alias("j"))
-    same = a.join(b.withColumnRenamed("kb", "ka"), "ka").where("ia < ib").select("ia", "ib", F.lit(1.0).alias("j"))
-    both = near.union(same).where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "j")
-    return both.groupBy("id_a", "id_b").agg(F.max("j").alias("jaccard"))
-
-
-def ngram_jaccard_dedup(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, q: int = Q, hot: int = HOT) -> DataFrame:
-    """docs, all columns, with one document of each group: groups are what pairs at the threshold connect."""
-    members, pairs = _joined(docs, n, threshold, q, hot)
-    root = components(pairs, "ka", "kb").select(F.col("__node").alias("k"), F.col("__root").alias("root"))
-    grouped = members.join(root, "k", "left").select(F.coalesce("root", "k").alias("g"), "__id", "__th")
-    rank = F.struct(F.col("__id").isNull().alias("none"), "__id", "__th")
-    stay = grouped.groupBy("g").agg(F.min(rank).alias("stay"), F.count("*").alias("n")).where("n > 1").select("g", "stay")
-    gone = written(grouped.join(stay, "g").where(~rank.eqNullSafe(F.col("stay"))).select(F.col("__id").alias("__gone_id"), F.col("__th").alias("__gone_th")).distinct(), "gone")
+    classes = ngram_classes(docs, **kw)
+    rest = docs.where(F.coalesce(~F.col("text").rlike(WORD), F.lit(True))).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("th")).distinct()
+    rest = rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "n_links").union(rest)
+
+
+def ngram_jaccard_dedup(docs: DataFrame, **kw) -> DataFrame:
+    """docs, all columns, with one document of each class; documents without a word stay."""
+    classes = ngram_classes(docs, **kw)
+    gone = classes.where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))))
+    gone = written(gone.select(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th")), "gone")
     return docs.join(sized(gone), docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]) & (text_hash(docs["text"]) == gone["__gone_th"]) & docs["text"].isNotNull(), "left_anti")
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')]
       ELSE list_transform(range(1, len(ws) - {N} + 2), lambda i: array_to_string(ws[i:i + {N} - 1], ' ')) END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS inter FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT id_a, id_b, round(inter / (x.n + y.n - inter), 6) AS jaccard FROM o JOIN s x ON id_a = x.doc_id JOIN s y ON id_b = y.doc_id
-WHERE inter >= {THRESHOLD} * (x.n + y.n - inter) - 1e-9
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS MATERIALIZED (SELECT x, y FROM o JOIN s u ON x = u.doc_id JOIN s v ON y = v.doc_id WHERE inter >= {THRESHOLD} * (u.n + v.n - inter) - 1e-9),
+l AS MATERIALIZED (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r(doc_id, class_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.class_id FROM r JOIN l ON r.doc_id = l.x)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM (SELECT doc_id, min(class_id) AS class_id FROM r GROUP BY doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM l GROUP BY x) USING (doc_id)
 """
