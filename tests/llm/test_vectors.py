@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -62,34 +63,76 @@ def test_knn_edges(spark):
     assert {(r.query_id, r.rank, r.neighbor_id) for r in knn.knn_join(frame(spark, same), k=2, group_rows=7).collect()} == {x[:3] for x in brute_knn(same, 2)}
 
 
-def brute_pairs(rows, t):
+def brute_classes(rows, t):
     v = np.array([x for _, x in rows], np.float32).astype(float)
     u = v / np.sqrt((v * v).sum(1))[:, None]
-    c = u @ u.T
-    return {(min(a, b), max(a, b)) for i, (a, _) in enumerate(rows) for j, (b, _) in enumerate(rows) if i < j and c[i, j] >= t}
+    near = u @ u.T >= t - 1e-12
+    np.fill_diagonal(near, False)
+    ids, classes = np.array([i for i, _ in rows]), {}
+    for a in range(len(rows)):
+        seen, todo = {a}, [a]
+        while todo:
+            todo += (new := set(np.flatnonzero(near[todo.pop()]).tolist()) - seen)
+            seen |= new
+        classes[int(ids[a])] = int(min(ids[list(seen)]))
+    return sorted((int(i), classes[int(i)], int(near[a].sum())) for a, i in enumerate(ids))
 
 
-@pytest.mark.parametrize(("dims", "blocks", "t"), [(1, 4, 0.9), (2, 1, 0.99), (6, 4, 0.9), (16, 4, 0.8), (32, 8, 0.5), (64, 4, 0.9)])
-def test_near_pairs_match_brute_force(spark, dims, blocks, t):
+def near(df):
+    return sorted((r[0], r[1], r[2]) for r in df.collect())
+
+
+@pytest.mark.parametrize(("dims", "blocks", "t", "box"), [(1, 4, 0.9, 50), (2, 1, 0.99, 20), (6, 4, 0.9, 30), (16, 4, 0.8, 1000), (32, 8, 0.5, 40), (64, 4, 0.9, 60)])
+def test_near_classes_match_brute_force(spark, dims, blocks, t, box):
     rng = np.random.default_rng(dims)
     rows = [(i, v.tolist()) for i, v in enumerate(clustered(rng, 250, dims, 40, 0.3 if dims > 1 else 0.1))]
-    rows += [(1000 + i, [x * 3 for x in rows[i][1]]) for i in range(10)]
-    got = {(r.id_a, r.id_b) for r in embdedup.near_pairs(frame(spark, rows), threshold=t, blocks=blocks).collect()}
-    assert got == brute_pairs(rows, t) and got
+    rows += [(1000 + i, [x * 3 for x in rows[i][1]]) for i in range(10)] + [(2000 + i, rows[i][1]) for i in range(0, 30, 2)]
+    got = near(embdedup.near_classes(frame(spark, rows), threshold=t, blocks=blocks, box_rows=box))
+    assert got == brute_classes(rows, t) and sum(n for *_, n in got)
 
 
-def test_near_pairs_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(embdedup, "TILE", 16)
+@pytest.mark.parametrize(("tile", "sample"), [(16, 200), (7, 5), (1000, 1)])
+def test_near_classes_in_tiles(spark, tile, sample):
     rng = np.random.default_rng(5)
     rows = [(i, v.tolist()) for i, v in enumerate(clustered(rng, 200, 8, 3, 0.2))]
-    assert {(r.id_a, r.id_b) for r in embdedup.near_pairs(frame(spark, rows)).collect()} == brute_pairs(rows, 0.9)
+    assert near(embdedup.near_classes(frame(spark, rows), tile=tile, box_rows=40, sample=sample)) == brute_classes(rows, 0.9)
+
+
+def test_pairs_at_the_threshold_belong(spark):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0])]
+    assert near(embdedup.near_classes(frame(spark, rows), threshold=0.6)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    assert near(embdedup.near_classes(frame(spark, rows), threshold=0.81)) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+
+
+def test_boxes_divide_space():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    lo, hi = embdedup.boxes(x[:100], 400, 60)
+    assert len(lo) > 4 and (((x[:, None] > lo) & (x[:, None] <= hi)).all(2).sum(1) == 1).all()
+    home, goes = embdedup.visits(x, lo, hi, 0.04)
+    for i, j in np.argwhere(((x[:, None] - x) ** 2).sum(2) <= 0.04):
+        assert home[i] == home[j] or goes[i, home[j]] != goes[j, home[i]]
+    assert goes.mean() < 0.4
 
 
 def test_dedup_and_edges(spark):
-    assert embdedup.near_pairs(frame(spark, [])).count() == 0
+    assert embdedup.near_classes(frame(spark, [])).count() == 0
     rows = [(5, [1.0, 0.0]), (2, [2.0, 0.01]), (9, [1.0, 0.02]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (4, None), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [1.0])]
-    d = frame(spark, rows).selectExpr("*", "1 as id", "2 as a", "3 as b", "4 as `__gone`")
-    assert {(r.id_a, r.id_b) for r in embdedup.near_pairs(d).collect()} == {(2, 5), (2, 9), (5, 9)}
+    d = frame(spark, rows).selectExpr("*", "1 as id", "2 as a", "3 as rep", "4 as `__gone`")
+    assert near(embdedup.near_classes(d)) == [(2, 2, 2), (3, 3, 0), (4, 4, 0), (5, 2, 2), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 2, 2)]
     kept = embdedup.embedding_dedup(d)
     assert kept.columns == d.columns
     assert sorted(str(r.vec_id) for r in kept.collect()) == sorted(["2", "3", "3", "None", "4", "6", "7", "8"])
+    only = frame(spark, [(1, None), (2, [0.0])])
+    assert near(embdedup.near_classes(only)) == [(1, 1, 0), (2, 2, 0)]
+
+
+def test_sql_says_the_same_with_copies_planted(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(rng, 120, 16, 60, 0.2))]
+    rows += [(500 + i, (np.array(rows[i][1]) * 1.01 + 0.001).tolist()) for i in range(0, 120, 10)]
+    frame(spark, rows).write.parquet(str(tmp_path / "embeddings"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    got = near(embdedup.near_classes(frame(spark, rows)))
+    assert sorted(con.execute(embdedup.SQL).fetchall()) == got and sum(n for *_, n in got) > 20

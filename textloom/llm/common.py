@@ -187,6 +187,20 @@ def bundles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.T
         yield cut(pa.Table.from_batches(held))
 
 
+def joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """up (each item's least fellow, itself a fellow of its own) after joining items i with items j."""
+    while len(i):
+        a, b = up[i], up[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        to = up.copy()
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to = to[to]
+        up = to[up]
+    return up
+
+
 #: Edges up to which the driver joins them; beyond, rounds of joins do.
 DRIVER_EDGES = 400_000
 

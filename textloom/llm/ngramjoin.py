@@ -40,11 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHash, bundles, components, dropped, give_back, keyed, prepare, rolled, sized, text_hash, written
+from .common import WORD, WordHash, bundles, components, dropped, give_back, joined, keyed, prepare, rolled, sized, text_hash, written
 
 N, THRESHOLD, TILE, LOCAL = 3, 0.6, 2048, 64
 #: Grams in a chunk, about; bytes of text for a part of the grams, and the most parts.
-CHUNK_GRAMS, PART_BYTES, PARTS = 2_000_000, 16 << 20, 65_536
+CHUNK_GRAMS, PART_BYTES, PARTS = 1_000_000, 16 << 20, 65_536
 LEAF, FAN, COLUMNS = 32, 8, 1 << 15
 
 
@@ -398,20 +398,6 @@ def _links(t: float):
     return run
 
 
-def joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """up (each item's least fellow, itself a fellow of its own) after joining items i with items j."""
-    while len(i):
-        a, b = up[i], up[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        to = up.copy()
-        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
-        while (to[to] != to).any():
-            to = to[to]
-        up = to[up]
-    return up
-
-
 def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, parts: int | None = None, chunk_grams: int = CHUNK_GRAMS, local: int = LOCAL) -> DataFrame:
     """(id, th, class_none, class_id, class_th, n_links) of every document that has a word, as a written table."""
     spark, scratch = docs.sparkSession, []

@@ -34,7 +34,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embdedup.near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return embdedup.near_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
