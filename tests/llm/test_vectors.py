@@ -18,24 +18,37 @@ def clustered(rng, n, dims, centres, spread):
     return (c[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dims))).astype(np.float32)
 
 
-def brute_knn(rows, k):
+def brute_knn(rows, k, every=1):
     ids = np.array([i for i, _ in rows])
     v = np.array([x for _, x in rows], np.float32).astype(float)
     want = set()
-    for a in range(len(ids)):
+    for a in np.flatnonzero(ids % every == 0):
         d = np.sqrt(((v - v[a]) ** 2).sum(1))
         order = [b for b in np.lexsort((ids, d)) if ids[b] != ids[a]][:k]
         want |= {(int(ids[a]), r + 1, int(ids[b]), round(float(d[b]), 5)) for r, b in enumerate(order)}
     return want
 
 
-@pytest.mark.parametrize(("dims", "spread", "group"), [(2, 0.05, 20), (8, 0.3, 50), (24, 1.0, 40), (3, 0.0, 30)])
-def test_knn_matches_brute_force(spark, dims, spread, group):
+@pytest.mark.parametrize(("dims", "spread", "queries", "rows"), [(2, 0.05, 20, 40), (8, 0.3, 50, 1000), (24, 1.0, 7, 60), (3, 0.0, 30, 30)])
+def test_knn_matches_brute_force(spark, dims, spread, queries, rows):
     rng = np.random.default_rng(dims)
-    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(1000)[:300], clustered(rng, 300, dims, 12, spread), strict=True)]
-    got = {(r.query_id, r.rank, r.neighbor_id, round(r.distance, 5)) for r in knn.knn_join(frame(spark, rows), k=4, pivots=20, group_rows=group).collect()}
-    assert {x[:3] for x in got} == {x[:3] for x in brute_knn(rows, 4)}
-    assert len(got) == 1200
+    table = [(int(i), v.tolist()) for i, v in zip(rng.permutation(1000)[:300], clustered(rng, 300, dims, 12, spread), strict=True)]
+    for every in (1, 3):
+        got = {(r.query_id, r.rank, r.neighbor_id, round(r.distance, 5)) for r in knn.knn_join(frame(spark, table), k=4, every=every, pivots=20, queries=queries, rows=rows).collect()}
+        assert {x[:3] for x in got} == {x[:3] for x in brute_knn(table, 4, every)}
+        assert len(got) == 4 * sum(i % every == 0 for i, _ in table)
+
+
+def test_clusters_are_not_copied_everywhere():
+    rng = np.random.default_rng(4)
+    at = rng.normal(size=(16, 8)) * 10
+    data = at[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 8))
+    cell = knn.squared(data, at).argmin(1)
+    near = np.sqrt(((data - at[cell]) ** 2).sum(1))
+    largest = np.array([near[cell == c].max() for c in range(16)])
+    group = np.arange(16) // 2
+    plan = knn.Plan(knn.group_bounds(at, largest, knn.cell_bounds(at, largest, [sorted(near[cell == c])[:11] for c in range(16)], 10), group, 8), group, 1)
+    assert sum(plan.serves(g, cell, near).sum() for g in range(8)) < 2000 * 8 / 2
 
 
 def test_bounds_exclude_something():
@@ -55,12 +68,13 @@ def test_knn_edges(spark):
     nan = float("nan")
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.5, 9.0]), (None, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [nan, 1.0]), (7, [1.0]), (8, []), (9, [float("inf"), 0.0])]
     d = frame(spark, rows).selectExpr("*", "1 as id", "2 as v", "3 as cell", "4 as near")
-    got = sorted((r.query_id, r.rank, r.neighbor_id) for r in knn.knn_join(d, k=5).collect())
+    got = sorted((r.query_id, r.rank, r.neighbor_id) for r in knn.knn_join(d, k=5, every=1).collect())
     assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)]  # ties to the smaller id; id 3 is (0.5, 9)
-    assert knn.knn_join(frame(spark, [(1, [1.0, 2.0])])).count() == 0
+    assert knn.knn_join(frame(spark, [(20, [1.0, 2.0])])).count() == 0
+    assert knn.knn_join(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0  # no query
     assert knn.knn_join(frame(spark, [(1, None)])).count() == 0
     same = [(i, [1.0, 1.0]) for i in range(30)]
-    assert {(r.query_id, r.rank, r.neighbor_id) for r in knn.knn_join(frame(spark, same), k=2, group_rows=7).collect()} == {x[:3] for x in brute_knn(same, 2)}
+    assert {(r.query_id, r.rank, r.neighbor_id) for r in knn.knn_join(frame(spark, same), k=2, every=1, queries=7, rows=9).collect()} == {x[:3] for x in brute_knn(same, 2)}
 
 
 def brute_classes(rows, t):
