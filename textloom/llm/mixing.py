@@ -2,7 +2,7 @@
 
 Each source's documents, in a pseudorandom but fixed order, are one stream of tokens (words with the white space after
 them), cut into blocks of ``block`` tokens; only a source's last block is shorter. Parts of two documents in a block
-are set apart by an empty line. Every output shard has ``slots`` slots and draws how many go to each source from a
+are set apart by an empty line; white space at the ends of a part is left out. Every output shard has ``slots`` slots and draws how many go to each source from a
 multinomial with the target weights. The slots of a source count on from shard to shard; slot j takes block perm(j mod
 n), perm being a keyed Feistel permutation of the source's n blocks, a new one each time that all were used. Slots and
 blocks are joined by block index.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, give_back, prepare, text_hash, written
+from .common import WORD, give_back, prepare, sized, text_hash, written
 
 BLOCK, SLOTS, ALPHA, SEED, BUCKETS = 512, 256, 0.5, 17, 16_384
 M64 = (1 << 64) - 1
@@ -160,7 +160,7 @@ def mix_sources(docs: DataFrame, *, weights: Mapping[str | None, float] | None =
     if not share.sum():
         return spark.createDataFrame([], "shard long, slot int, source string, block long, n_tokens int, lang string, text string")
     shards = max(1, round(sum(blocks) / slots)) if shards is None else shards
-    sources = F.broadcast(spark.createDataFrame([(s, i) for i, (s, _) in enumerate(tokens) if share[i] > 0], "known string, sid int"))
+    sources = sized(spark.createDataFrame([(s, i) for i, (s, _) in enumerate(tokens) if share[i] > 0], "known string, sid int"), len(tokens))
     starts = sums.join(sources, F.col("source").eqNullSafe(F.col("known"))).select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("start"))
     rows = base.join(sources, F.col("source").eqNullSafe(F.col("known"))).select("sid", "bucket", F.col("id").isNull().alias("none"), "id", "th", "lang", "text", F.lit(None).cast("long").alias("start"))
     rows = rows.unionByName(starts.withColumns({"none": F.lit(False), "id": F.lit(None).cast("long"), "th": F.lit(0).cast("long"), "lang": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}))
@@ -172,9 +172,10 @@ def mix_sources(docs: DataFrame, *, weights: Mapping[str | None, float] | None =
     draws = spark.range(0, shards, 1, tasks).mapInArrow(_draws(slots, share, seed), "shard long, sid int, n long").withColumn("group", F.floor(F.col("shard") / 1024))
     groups = draws.groupBy("sid", "group").agg(F.sum("n").alias("sum"))
     groups = groups.select("sid", "group", (F.sum("sum").over(Window.partitionBy("sid").orderBy("group")) - F.col("sum")).alias("base"))
-    before = draws.join(groups, ["sid", "group"]).select("shard", "sid", (F.col("base") + F.sum("n").over(Window.partitionBy("sid", "group").orderBy("shard")) - F.col("n")).alias("before"))
+    before = draws.hint("merge").join(groups, ["sid", "group"]).select("shard", "sid", (F.col("base") + F.sum("n").over(Window.partitionBy("sid", "group").orderBy("shard")) - F.col("n")).alias("before"))
     places = before.groupBy("shard").agg(F.collect_list(F.struct("sid", "before")).alias("before")).mapInArrow(_slots(slots, share, blocks, seed), "shard long, slot int, sid int, block long")
-    return places.join(whole, ["sid", "block"]).join(sources, "sid").select("shard", "slot", F.col("known").alias("source"), "block", "n_tokens", "lang", "text")
+    # both sides grow with the data: never broadcast one, however well it compresses
+    return places.hint("merge").join(whole, ["sid", "block"]).join(sources, "sid").select("shard", "slot", F.col("known").alias("source"), "block", "n_tokens", "lang", "text")
 
 
 def mixed_documents(docs: DataFrame, *, slots: int = SLOTS, **kw) -> DataFrame:
