@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,6 +50,27 @@ def test_matches_brute_force(docs):
     rows += [(100, rows[3][1]), (101, "x " * 200), (102, "a b c " * 90), (103, "a b c " * 40), (104, None), (105, ""), (106, " \n"), (None, rows[5][1])]
     check(docs, rows)
     check(docs, rows, window=12, gram=4)
+    check(docs, rows, hot=3)
+    check(docs, rows, window=12, gram=4, hot=1)
+
+
+def test_a_phrase_in_many_contexts_is_no_bucket(docs):
+    """One phrase of GRAM words in 10,000 contexts: a hot minimiser, whose windows go by digest."""
+    rng = random.Random(12)
+    phrase = words(rng, m.GRAM)
+    rows = [(i, " ".join(f"a{i}_{k}" for k in range(45)) + " " + phrase + " " + " ".join(f"b{i}_{k}" for k in range(45))) for i in range(10_000)]
+    rows += [(20_000 + i, rows[i][1]) for i in range(20)]
+    got = {r.doc_id: r.n_removed for r in m.substring_dedup(docs(rows), hot=1000).where("n_removed > 0").collect()}
+    assert got == dict.fromkeys(range(20_000, 20_020), 100)
+
+
+def test_minimisers_of_equal_windows_are_equal():
+    """Ties of hashes go to the left, whatever the length of the document."""
+    rng = np.random.default_rng(1)
+    grams = rng.integers(0, 6, 400).astype(np.uint64) << np.uint64(61)
+    h, s, n = m.super_kmers(grams, 7)
+    at = np.repeat(np.arange(len(s)), n)
+    assert n.sum() == 394 and all(h[at[x]] == grams[x : x + 7].min() for x in range(394))
 
 
 def test_repeated_rows_are_one_document(docs):

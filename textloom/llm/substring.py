@@ -12,6 +12,10 @@ repeated ones travel. Of equal packed strings only the first can hold first occu
 they are met, before the shuffle already, so a passage that very many documents share stays small. Within a bucket
 the windows are counted exactly, by sorting: ranks of words give ranks of 2, 4, ... and finally WINDOW words.
 
+Hot minimisers. A phrase of GRAM words that very many different contexts surround makes a bucket that no task should
+hold. Windows of a minimiser with more than HOT super-k-mers go by their own 128-bit digests instead, one row each, and
+are counted by aggregation and join, which split any group; so no bucket in a task has more than HOT packed strings.
+
 Defined results. A null text stays null, texts below WINDOW words stay as they are. A null doc_id is a document like
 any other, named by its text. Rows that repeat doc_id and text are one document: all get the same text. A document of
 which nothing is left has an empty text (or its leading white space). Empty tables give empty results. Other columns
@@ -26,28 +30,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, bundles, give_back, keyed, prepare, rolled, text_hash, written
+from .common import WordHash, bundles, dropped, give_back, keyed, prepare, rolled, text_hash, written
 
-WINDOW, GRAM = 50, 10
+WINDOW, GRAM, HOT = 50, 10, 50_000
 TOKEN = re.compile(rb"[^ \t\n\r\f\x0b]+[ \t\n\r\f\x0b]*")
 
 
 def super_kmers(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, first window, windows) of each run of windows of w grams whose leftmost least gram is the same one."""
     n = len(grams) - w + 1
-    bits = np.uint64(len(grams).bit_length())
-    x = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+    order = np.argsort(grams, kind="stable")
+    x = np.empty(len(grams), np.int64)
+    x[order] = np.arange(len(grams))  # places in the order of (hash, position)
     span = 1
     while span * 2 <= w:
         x = np.minimum(x[:-span], x[span:])
         span *= 2
     if span < w:
         x = np.minimum(x[:n], x[w - span : w - span + n])
-    at = (x & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    at = order[x]
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return grams[at[starts]], starts, np.diff(np.append(starts, n))
 
@@ -105,6 +111,20 @@ def _packed(window: int, most: int = 80_000):
     return run
 
 
+def _windows(window: int):
+    """The digest of each window of the wanted super-k-mers, and where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, th, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                words = text.encode().split()
+                at = sorted({x for s in wanted for x in range(s["start"], s["start"] + s["wins"])})
+                digests = [xxhash.xxh128_digest(b" ".join(words[x : x + window])) for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([i] * len(at), pa.int64()), pa.array([th] * len(at), pa.int64()), pa.array(at, pa.int32())], ["digest", "id", "th", "a"])
+
+    return run
+
+
 def repeated_windows(packed: list[bytes], order: list[np.ndarray], start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, word) of the windows in packed strings that aren't the first of their kind, exactly.
 
@@ -189,18 +209,28 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, 0) if t is None else cut(t, s) for t, s in zip(text, spans, strict=True)], columns=["text", "removed"])
 
 
-def substring_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, removed: str = "n_removed") -> DataFrame:
+def substring_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, removed: str = "n_removed") -> DataFrame:
     """docs, all columns, with text replaced, and the number of words removed in a column of the name given."""
-    gram = min(gram, window)
+    gram, scratch = min(gram, window), []
     prepare(docs.sparkSession)
     base = keyed(docs)
-    marks = written(base.mapInArrow(_marks(window, gram), "h long, __id long, __th long, start int, wins int"), "marks")
-    twice = marks.groupBy("h").count().where("count > 1").select("h")
-    wanted = marks.join(twice, "h", "left_semi").groupBy(F.col("__id").alias("id"), F.col("__th").alias("th")).agg(F.collect_set(F.struct("start", "wins", "h")).alias("wanted"))
-    found = base.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("__id", "__th", "__text", "wanted")
-    packed = found.mapInArrow(_packed(window), "h long, packed binary, none boolean, id long, th long, a int, b int")
+    marks = written(base.mapInArrow(_marks(window, gram), "h long, __id long, __th long, start int, wins int"), "marks", scratch)
+    counts = written(marks.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot")), "minimisers", scratch)
+
+    def found(of: DataFrame) -> DataFrame:
+        wanted = marks.join(of.select("h"), "h", "left_semi").groupBy(F.col("__id").alias("id"), F.col("__th").alias("th")).agg(F.collect_set(F.struct("start", "wins", "h")).alias("wanted"))
+        return base.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("__id", "__th", "__text", "wanted")
+
+    packed = found(counts.where("not hot")).mapInArrow(_packed(window), "h long, packed binary, none boolean, id long, th long, a int, b int")
     spans = packed.repartition("h").sortWithinPartitions("h", "packed", "none", "id", "th", "a").mapInArrow(_spans(window), "id long, th long, a int, b int")
+    if not counts.where("hot").isEmpty():
+        each = written(found(counts.where("hot")).mapInArrow(_windows(window), "digest binary, id long, th long, a int").distinct(), "windows", scratch)
+        me = F.struct(F.col("id").isNull().alias("none"), "id", "th", "a")
+        first = each.groupBy("digest").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+        later = each.join(first, "digest").where(~me.eqNullSafe(F.col("first")))
+        spans = spans.union(later.select("id", "th", "a", (F.col("a") + window).cast("int")))
     gone = written(spans.groupBy(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th")).agg(F.collect_set(F.struct("a", "b")).alias("__spans")), "spans")
+    dropped(docs.sparkSession, scratch)
     mine = docs.select(F.struct("*").alias("__row"), text_hash("text").alias("__th"))
     fixed = mine.join(gone, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__th") == F.col("__gone_th")), "left")
     fixed = fixed.withColumn("__cut", _cut(F.when(F.col("__spans").isNotNull(), F.col("__row.text")), "__spans"))
