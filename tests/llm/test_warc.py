@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -93,3 +94,39 @@ def test_urls_of_any_length(spark, tmp_path, gz):
     assert reread(m.read_warc(files).collect()) == Counter(rows)
     with pytest.raises(ValueError, match="WARC"):
         list(m.records(io.BytesIO(b"x" * (3 << 20)), "f"))
+
+
+def one(block: bytes, *header: str, pack=None) -> tuple:
+    raw = ("WARC/1.0\r\n" + "".join(f"{h}\r\n" for h in header) + f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    return list(m.records(io.BytesIO(pack(raw) if pack else raw), "f", 7))[-1]
+
+
+def sha1(raw: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(raw).digest()).decode()
+
+
+def test_declared_digests():
+    body, head = b"<p>body of some length</p>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    response = ("WARC-Type: response", "Content-Type: application/http; msgtype=response")
+    for block, kind, payload in ((head + body, response, body), (body, ("WARC-Type: resource", "Content-Type: text/html"), body)):
+        assert one(block, *kind)[-1] is True
+        assert one(block, *kind, f"WARC-Block-Digest: sha1:{sha1(block)}", f"WARC-Payload-Digest: sha1:{sha1(payload)}")[-1] is True
+        assert one(block, *kind, f"WARC-Payload-Digest: SHA-256:{hashlib.sha256(payload).hexdigest().upper()}")[-1] is True
+        assert one(block, *kind, f"WARC-Block-Digest: md5:{hashlib.md5(block).hexdigest()}")[-1] is True
+        assert one(block, *kind, f"WARC-Payload-Digest: sha1:{sha1(b'else')}")[-1] is False
+        assert one(block, *kind, f"WARC-Block-Digest: sha1:{sha1(b'else')}", f"WARC-Payload-Digest: sha1:{sha1(payload)}")[-1] is False
+        assert one(block, *kind, "WARC-Block-Digest: blake3:abc")[-1] is None
+        assert one(block, *kind, "WARC-Block-Digest: blake3:abc", f"WARC-Payload-Digest: sha1:{sha1(b'else')}")[-1] is False
+    assert one(b"", "WARC-Type: revisit", f"WARC-Payload-Digest: sha1:{sha1(body)}")[-1] is None
+
+
+def test_folded_headers_and_padding():
+    row = one(b"x", "WARC-Type: resource", "WARC-Target-URI: http://a/", "\tb c", pack=lambda raw: gzip.compress(raw) + b"\0" * 2000)
+    assert row[5] == "http://a/ b c" and row[-1] is True
+
+
+def test_bad_gzip_is_a_value_error():
+    packed = gzip.compress(b"WARC/1.0\r\nContent-Length: 3000\r\n\r\n" + bytes(range(256)) * 12)
+    for raw in (packed[:20] + b"\xff" * 40 + packed[60:], packed + b"no gzip at all"):
+        with pytest.raises(ValueError):
+            list(m.records(io.BytesIO(raw), "f"))

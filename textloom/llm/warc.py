@@ -12,12 +12,17 @@ pyarrow's file systems (local, HDFS, S3, ...), wherever the shared folder is.
 Defined results. A null html makes no record; an empty one a record with one empty chunk. A null url or page_id leaves
 its field out and is null again when read; spaces and control characters in a url are percent-encoded. Rows that repeat each make
 a record: such records share their identifier and differ in (file, record_no). A file that ends within a record gives
-what is there, and valid is false; a wrong declared digest, too. Bytes that aren't WARC raise ValueError. Empty tables
+what is there, and valid is false; a wrong declared digest, too, be it of the block or of the payload (what follows the
+HTTP head in an application/http record, else the block), in hexadecimal or base32. If all is right as far as it can be told, but a
+digest can't be (of an algorithm that isn't in ALGORITHMS, or of the payload that a revisit record refers to), valid is null. A
+header's line that begins with white space continues the one before. Zeros after the last gzip member are passed over. Bytes
+that aren't WARC, or not gzip where gzip began, raise ValueError. Empty tables
 make no file and give an empty table. Other columns of the input are not written.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, prepare, written
 
 CHUNK, BATCH, BLOCK, HEADER_MOST = 64 << 10, 8 << 20, 1 << 20, 1 << 20
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
 DATE = "2026-01-01T00:00:00Z"
 ROWS = pa.schema([
     ("file", pa.string()), ("record_no", pa.int64()), ("chunk_no", pa.int32()), ("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("page_id", pa.int64()),
@@ -66,18 +72,18 @@ class Writer:
             digest.update(p)
             length += len(p)
         name = uuid.UUID(hashlib.md5(f"{'' if page_id is None else page_id}\n{url or ''}\n{digest.hexdigest()}".encode()).hexdigest())
-        fields = [("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", self.date)]
+        head = [("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", self.date)]
         if url is not None:
-            fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
+            head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
         if page_id is not None:
-            fields.append(("Page-ID", str(page_id)))
-        fields += [("WARC-Payload-Digest", f"sha256:{digest.hexdigest()}"), ("Content-Type", "text/html"), ("Content-Length", str(length))]
+            head.append(("Page-ID", str(page_id)))
+        head += [("WARC-Payload-Digest", f"sha256:{digest.hexdigest()}"), ("Content-Type", "text/html"), ("Content-Length", str(length))]
         packer = zlib.compressobj(1, zlib.DEFLATED, 31) if self.gzip else None
 
         def put(raw: bytes) -> None:
             self.out.write(packer.compress(raw) if packer else raw)
 
-        put(("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode())
+        put(("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode())
         for p in pieces(text):
             put(p)
         put(b"\r\n\r\n")
@@ -105,8 +111,15 @@ class Source:
             if not self.gzip:
                 got, self.raw = self.raw, b""
             else:
-                self.unpacker = self.unpacker or zlib.decompressobj(31)
-                got = self.unpacker.decompress(self.raw, BLOCK)
+                if self.unpacker is None:
+                    self.raw = self.raw.lstrip(b"\0")  # padding
+                    if not self.raw:
+                        continue
+                    self.unpacker = zlib.decompressobj(31)
+                try:
+                    got = self.unpacker.decompress(self.raw, BLOCK)
+                except zlib.error as e:
+                    raise ValueError(f"no gzip: {e}") from e
                 self.raw = self.unpacker.unconsumed_tail
                 if self.unpacker.eof:
                     self.raw, self.unpacker = self.unpacker.unused_data, None
@@ -139,6 +152,57 @@ class Source:
                 return None
 
 
+def fields(lines: list[str]) -> dict[str, str]:
+    """The fields of a header by name in lower case; a line that begins with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for x in lines:
+        if x[:1] in (" ", "\t"):
+            if name is not None:
+                out[name] = f"{out[name]} {x.strip()}".strip()
+        else:
+            name, _, value = x.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+class Declared:
+    """A digest that a header declares, held against the bytes as they pass; of a payload, from the end of an HTTP head on."""
+
+    def __init__(self, value: str, headed: bool = False):
+        algorithm, _, self.value = value.partition(":")
+        algorithm = algorithm.strip().lower().replace("-", "")
+        self.digest = hashlib.new(algorithm, usedforsecurity=False) if algorithm in ALGORITHMS else None
+        self.headed, self.before = headed, b""
+
+    def update(self, raw: bytes) -> None:
+        if self.digest is None:
+            return
+        if self.headed:
+            seen = self.before + raw
+            end = seen.find(b"\r\n\r\n")
+            if end < 0:
+                self.before = seen[-3:]
+                return
+            self.headed, raw = False, seen[end + 4 :]
+        self.digest.update(raw)
+
+    def right(self) -> bool | None:
+        if self.digest is None:
+            return None
+        value = self.value.strip()
+        return value.lower() == self.digest.hexdigest() or value.upper().rstrip("=") == base64.b32encode(self.digest.digest()).decode().rstrip("=")
+
+
+def declared(field: dict[str, str]) -> list[Declared]:
+    out = [Declared(field["warc-block-digest"])] if "warc-block-digest" in field else []
+    if "warc-payload-digest" in field:
+        value = field["warc-payload-digest"] if field.get("warc-type", "").lower() != "revisit" else ""  # that of another record
+        out.append(Declared(value, field.get("content-type", "").lower().startswith("application/http")))
+    return out
+
+
 def records(stream: Any, file: str, chunk: int = CHUNK) -> Iterator[tuple]:
     """The rows of one file, in order."""
     source, no = Source(stream), 0
@@ -146,22 +210,24 @@ def records(stream: Any, file: str, chunk: int = CHUNK) -> Iterator[tuple]:
         lines = head.lstrip(b"\r\n").decode(errors="replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at record {no} of {file}")
-        field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        field = fields(lines[1:])
         if not field.get("content-length", "").isdigit():
             raise ValueError(f"record {no} of {file} has no length")
-        length, start, digest, k = int(field["content-length"]), 0, hashlib.sha256(), 0
-        declared = field.get("warc-payload-digest", "")
-        declared = declared[7:] if declared.startswith("sha256:") else None
+        length, start, digest, k, checks = int(field["content-length"]), 0, hashlib.sha256(), 0, declared(field)
         while True:
             payload = source.take(min(chunk, length - start))
             digest.update(payload)
+            for c in checks:
+                c.update(payload)
             end = start + len(payload)
             last = end == length or len(payload) < min(chunk, length - start)
-            now = digest.hexdigest()
-            valid = None if not last else end == length and (declared is None or declared == now)
+            valid = None
+            if last:
+                right = [c.right() for c in checks]
+                valid = False if end < length or False in right else None if None in right else True
             page = field.get("page-id")
             first = (field.get("warc-record-id"), field.get("warc-type"), field.get("warc-target-uri"), int(page) if page and page.lstrip("-").isdigit() else None, length) if not k else (field.get("warc-record-id"), None, None, None, None)
-            yield (file, no, k, *first, start, payload, now, last, valid)
+            yield (file, no, k, *first, start, payload, digest.hexdigest(), last, valid)
             start, k = end, k + 1
             if last:
                 break
