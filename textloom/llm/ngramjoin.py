@@ -40,11 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHash, bundles, components, dropped, give_back, joined, keyed, prepare, rolled, sized, text_hash, written
+from .common import WORD, WordHash, bundles, components, dropped, fresh_path, give_back, joined, keyed, prepare, rolled, sized, text_hash, written
 
-N, THRESHOLD, TILE, LOCAL = 3, 0.6, 2048, 64
+N, THRESHOLD, TILE, LOCAL = 3, 0.6, 1024, 64
 #: Grams in a chunk, about; bytes of text for a part of the grams, and the most parts.
-CHUNK_GRAMS, PART_BYTES, PARTS = 1_000_000, 16 << 20, 65_536
+CHUNK_GRAMS, PART_BYTES, PARTS = 1_000_000, 8 << 20, 65_536
 LEAF, FAN, COLUMNS = 32, 8, 1 << 15
 
 
@@ -230,8 +230,8 @@ def _tokens(n: int, parts: int, chunk_grams: int, local: int):
             rows.append((mine, number, DOCS, np.array([0 if x is None else x for x in ids], np.int64).tobytes() + np.array(ths, np.int64).tobytes(), sizes.astype(np.uint32).tobytes(), np.array([x is None for x in ids], np.uint8).tobytes()))
             if often.any():
                 rows.append((mine, number, OFTEN, token[often].tobytes(), doc[often].tobytes(), None))
-            for x in range(0, len(rows), 256):
-                yield _sent(rows[x : x + 256])
+            for x in range(0, len(rows), 64):
+                yield _sent(rows[x : x + 64])
 
         for batch in batches:
             for i, th, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -288,8 +288,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if twice.any():
                     doc = np.frombuffer(b, np.uint16)[twice].tobytes() if kind == GRAMS else None
                     rows.append((to, chunk, kind, np.frombuffer(a, np.uint32)[twice].tobytes(), doc, mine[twice].tobytes()))
-        for x in range(0, len(rows), 256):
-            yield _sent(rows[x : x + 256])
+        for x in range(0, len(rows), 64):
+            yield _sent(rows[x : x + 64])
     give_back()
 
 
@@ -414,7 +414,10 @@ def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     gone = written(named.join(many, ["th", "th2"]).where(~F.col("id").eqNullSafe(F.col("rid"))).select(F.col("id").alias("gid"), F.col("th").alias("gth")), "copies", scratch)
     first = base.join(sized(gone), F.col("__id").eqNullSafe(F.col("gid")) & (F.col("__th") == F.col("gth")), "left_anti")
     sent = first.mapInArrow(_tokens(n, parts, chunk_grams, local), SENT_DDL).repartition(parts, "to").mapInArrow(_frequencies, SENT_DDL)
-    prefixes = written(sent.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), PREFIX_DDL), "prefixes", scratch)
+    path = fresh_path(spark, "prefixes")
+    sent.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), PREFIX_DDL).write.partitionBy("kind").parquet(path)
+    scratch.append(path)
+    prefixes = spark.read.schema(PREFIX_DDL).parquet(path)
     entries = prefixes.where(F.col("kind") == ENTRY).select("token", "u")
     ties = entries.join(entries.groupBy("token").agg(F.min("u").alias("v")), "token").where("u <> v").select("u", "v")
     cluster = components(ties.union(prefixes.where(F.col("kind") == EDGE).select("u", "v")), "u", "v").select(F.col("__node").alias("u"), F.col("__root").alias("c"))
