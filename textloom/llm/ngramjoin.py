@@ -410,7 +410,8 @@ def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     texts = written(named.groupBy("th", "th2").agg(F.count("*").alias("w"), F.min(rank).alias("rep"), F.max("bytes").alias("bytes")), "texts", scratch)
     if parts is None:
         parts = max(1, min(PARTS, -(-(texts.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // PART_BYTES)))
-    many = texts.where("w > 1").select("th", "th2", F.col("rep.id").alias("rid"))
+    many = texts.where("w > 1").select("th", "th2", F.col("rep.id").alias("rid"), "w")
+    many = sized(written(many, "many", scratch))
     gone = written(named.join(many, ["th", "th2"]).where(~F.col("id").eqNullSafe(F.col("rid"))).select(F.col("id").alias("gid"), F.col("th").alias("gth")), "copies", scratch)
     first = base.join(sized(gone), F.col("__id").eqNullSafe(F.col("gid")) & (F.col("__th") == F.col("gth")), "left_anti")
     sent = first.mapInArrow(_tokens(n, parts, chunk_grams, local), SENT_DDL).repartition(parts, "to").mapInArrow(_frequencies, SENT_DDL)
@@ -422,11 +423,11 @@ def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     ties = entries.join(entries.groupBy("token").agg(F.min("u").alias("v")), "token").where("u <> v").select("u", "v")
     cluster = components(ties.union(prefixes.where(F.col("kind") == EDGE).select("u", "v")), "u", "v").select(F.col("__node").alias("u"), F.col("__root").alias("c"))
     cluster = cluster.join(prefixes.where(F.col("kind") == NAME).select("u", "id", "th"), "u").groupBy("c", "id", "th").agg(F.min("u").alias("node"))
-    weights = many.join(texts.select("th", "th2", "w"), ["th", "th2"]).select(F.col("th").alias("wth"), F.col("rid"), "w")
+    weights = many.select(F.col("th").alias("wth"), "rid", "w")
     cluster = cluster.join(weights, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("rid")), "left").select("c", "id", "th", "node", F.coalesce("w", F.lit(1)).alias("w"))
     cluster = written(cluster, "clusters", scratch)
-    tiles = cluster.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    members = cluster.join(tiles, "c", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    tiles = written(cluster.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1"), "tiles", scratch)
+    members = cluster.join(sized(tiles), "c", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     members = written(members, "members", scratch)
     sets = first.join(sized(members), F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("c", "tiles", "tile", "node", "w", "__text")
     sets = sets.mapInArrow(_sets(n), "c long, tiles int, tile int, node long, w long, grams binary")
@@ -435,9 +436,10 @@ def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     links = written(tiled.mapInArrow(_links(threshold), "node long, links long, root long"), "links", scratch)
     root = components(links, "node", "root").select(F.col("__node").alias("node"), F.col("__root").alias("root"))
     found = links.groupBy("node").agg(F.sum("links").alias("links")).join(root, "node").join(members.select("node", "id", "th"), "node")
+    found = written(found, "found", scratch)
     best = found.groupBy("root").agg(F.min(rank).alias("best"))
-    found = found.join(best, "root").select(F.col("id").alias("fid"), F.col("th").alias("fth"), "links", "best")
-    classes = texts.join(found, (F.col("th") == F.col("fth")) & F.col("rep.id").eqNullSafe(F.col("fid")), "left")
+    found = written(found.join(best, "root").select(F.col("id").alias("fid"), F.col("th").alias("fth"), "links", "best"), "linked", scratch)
+    classes = texts.join(sized(found), (F.col("th") == F.col("fth")) & F.col("rep.id").eqNullSafe(F.col("fid")), "left")
     classes = classes.select("th", "th2", F.coalesce("best", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     out = named.join(classes, ["th", "th2"]).select("id", "th", F.col("class.none").alias("class_none"), F.col("class.id").alias("class_id"), F.col("class.th").alias("class_th"), "n_links")
     out = written(out, "classes")

@@ -28,7 +28,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -204,9 +203,10 @@ def cut(text: str, spans: list) -> tuple[str, int]:
     return (lead + b"".join(t for t, k in zip(tokens, keep.tolist(), strict=True) if k)).decode(), int((~keep).sum())
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
-def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(None, 0) if t is None else cut(t, s) for t, s in zip(text, spans, strict=True)], columns=["text", "removed"])
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
+def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    got = [(None, 0) if t is None else cut(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in got], pa.string()), pa.array([n for _, n in got], pa.int32())], names=["text", "removed"])
 
 
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, removed: str = "n_removed") -> DataFrame:
