@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import charset, secrets
 from .functions.language import language_of
+from .functions.paths import order_key
 from .functions.text import numbered, strip_comments
 from .operators import lines, scan, stats
 from .options import ScanOptions, trim_dot_slash
@@ -35,6 +36,10 @@ def rules_of(files: DataFrame, names: Sequence[str] = RULE_FILES, extra: Sequenc
     return discover(found.withColumn("text", F.col("content").cast("string")), names=names, extra=extra)
 
 
+def _rules(files: DataFrame, rules: Sequence[IgnoreRule], use_ignore_files: bool) -> Sequence[IgnoreRule]:
+    return [*rules, *rules_of(files)] if use_ignore_files else rules
+
+
 def get_directory_tree(spark: SparkSession, root: str, path: str = "", *, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = (), as_json: bool = True) -> DataFrame:
     """(ord, token) of the JSON tree, or (rel_path, parts, line) of the text tree."""
     files = listed(spark, root, path)
@@ -60,18 +65,19 @@ def get_file_content(spark: SparkSession, root: str, path: str, *, mask_secrets:
     return one.select(F.lit(where).alias("path"), text.alias("text"))
 
 
-def list_tree_files(spark: SparkSession, root: str, path: str = "", *, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = ()) -> DataFrame:
+def list_tree_files(spark: SparkSession, root: str, path: str = "", *, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = (), use_ignore_files: bool = False) -> DataFrame:
     """(path) of the files that the options keep, in the order of a walk."""
-    options = options or ScanOptions()
-    kept = scan.keep(listed(spark, root, path), options, rules).where(~F.col("is_dir"))
+    options, files = options or ScanOptions(), listed(spark, root, path)
+    kept = scan.keep(files, options, _rules(files, rules, use_ignore_files)).where(~F.col("is_dir"))
     if options.skip_binary:
         kept = with_content(kept).where(~charset.is_binary(F.col("content")))
-    return kept.orderBy("parts").select(F.col("rel_path").alias("path"))
+    return kept.orderBy(order_key(F.col("rel_path"), options.case_insensitive_order), "parts").select(F.col("rel_path").alias("path"))
 
 
-def search_in_files(spark: SparkSession, root: str, query: str, path: str = "", *, is_regex: bool = False, max_results: int = 100, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = ()) -> DataFrame:
+def search_in_files(spark: SparkSession, root: str, query: str, path: str = "", *, is_regex: bool = False, max_results: int = 100, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = (), use_ignore_files: bool = False) -> DataFrame:
     """(path, line_no, line) of the first matches in the order of a walk; binary files aren't searched."""
-    kept = with_content(scan.keep(listed(spark, root, path), options, rules).where(~F.col("is_dir")))
+    files = listed(spark, root, path)
+    kept = with_content(scan.keep(files, options, _rules(files, rules, use_ignore_files)).where(~F.col("is_dir")))
     some = kept.where(~charset.is_binary(F.col("content"))).withColumn("text", F.col("content").cast("string"))
     return lines.search(some, query, is_regex=is_regex, max_results=max_results)
 
@@ -82,8 +88,33 @@ def get_file_info(spark: SparkSession, root: str, path: str) -> DataFrame:
     return stats.file_info(listed(spark, root, head).where(F.col("rel_path") == name)).withColumn("path", F.lit(where))
 
 
-def get_project_stats(spark: SparkSession, root: str, path: str = "", *, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = ()) -> DataFrame:
-    return stats.project_stats(scan.keep(listed(spark, root, path), options, rules))
+def get_project_stats(spark: SparkSession, root: str, path: str = "", *, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = (), use_ignore_files: bool = False) -> DataFrame:
+    files = listed(spark, root, path)
+    return stats.project_stats(scan.keep(files, options, _rules(files, rules, use_ignore_files)))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(json) of each row, in several indented lines, as statistics and file information are shown."""
+    return rows.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
+
+
+def scan_directory(spark: SparkSession, root: str, path: str = "", *, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = (), secret_rules: secrets.SecretRules = secrets.DEFAULT) -> DataFrame:
+    """(file, line, text, pattern) of the secrets in a directory's files; files that don't look like text are left out."""
+    kept = with_content(scan.keep(listed(spark, root, path), options, rules).where(~F.col("is_dir")))
+    some = kept.where(charset.looks_like_text(F.col("content"))).withColumn("text", F.col("content").cast("string"))
+    return scan.scan_secrets(some, secret_rules)
+
+
+DUMPS = {"txt": dumps.dump_text, "md": dumps.dump_markdown, "xml": dumps.dump_xml, "compact": dumps.dump_compact}
+
+
+def dump_directory(spark: SparkSession, root: str, fmt: str = "txt", *, options: ScanOptions | None = None, rules: Sequence[IgnoreRule] = (), use_ignore_files: bool = True, **how) -> DataFrame:
+    """The ordered chunks of a dump of a directory: what write_dump puts into one file. how: what the format's dump takes."""
+    if fmt not in DUMPS:
+        raise ValueError(f"no dump format: {fmt!r}; there are {', '.join(DUMPS)}")
+    files = listed(spark, root)
+    kept = scan.keep(files, options or ScanOptions(skip_git=True), _rules(files, rules, use_ignore_files))
+    return DUMPS[fmt](files, with_content(kept), root=root, name=root.rstrip("/").rpartition("/")[2], **how)
 
 
 def get_files_compact(spark: SparkSession, root: str, paths: Sequence[str], *, mask_secrets: bool = True, delete_comments: bool = False, max_files: int = 10) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,17 @@ def detect(content: Column, *, min_confidence: float = 0.0, sample: int = SAMPLE
     return F.when(content.isNotNull(), _let(_let(_measures(part), _scores), decide))
 
 
+def detected(df: DataFrame, content: Column, **how) -> DataFrame:
+    """df with columns encoding, confidence and language, from one detection a row."""
+    kept = df.select("*", F.explode(F.array(detect(content, **how))).alias("__found"))  # a struct's fields taken apart would be computed each
+    return kept.select(*df.columns, "__found.encoding", "__found.confidence", "__found.language")
+
+
+def is_encoding(name: str) -> bool:
+    """Whether detection knows an encoding of this name."""
+    return name in ENCODINGS
+
+
 _CODECS = {"Shift-JIS": "cp932", "CP932": "cp932", "EUC-JP": "euc_jp", "ISO-2022-JP": "iso2022_jp"}
 
 
@@ -110,6 +121,7 @@ def decode(content: Column, *, escapes_first: bool = True, sample: int = 0) -> C
     """UTF-8 text. Valid UTF-8 is taken as it is; only other bytes, and pure ASCII with escape sequences if
     escapes_first, are decoded as what is detected, with U+FFFD for what fits nothing."""
     escaped = F.lit(escapes_first) & latin(content).rlike(_ESCAPES)
-    name = F.when(escaped, "ISO-2022-JP").otherwise(detect(content, sample=sample)["encoding"])
     plain = valid_utf8(content) & ~escaped
-    return F.when(plain, content.cast("string")).otherwise(_legacy(F.when(~plain, content), name))
+    rest = F.when(~plain, content)  # detection and decoding see nothing of what is taken as it is
+    name = F.when(escaped, "ISO-2022-JP").otherwise(detect(rest, sample=sample)["encoding"])
+    return F.when(plain, content.cast("string")).otherwise(_legacy(rest, name))

@@ -72,7 +72,8 @@ def _own(path: Column, is_dir: Column, o: ScanOptions) -> Column:
     if o.include_ext:
         ok &= spare | extension(path).isin(*o.include_ext)
     if o.exclude_dir_regex:
-        ok &= ~parent(path).rlike(to_java(o.exclude_dir_regex))
+        above = parent(path) if o.absolute_root is None else F.concat(F.lit(o.absolute_root.rstrip("/")), F.when(parent(path) == "", "").otherwise(F.concat(F.lit("/"), parent(path))))
+        ok &= ~above.rlike(to_java(o.exclude_dir_regex))
     if o.exclude_name:
         ok &= ~base_name(path).rlike(to_java(o.exclude_name))
     if o.exclude_ext:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from .language import GRAMMARS
 
 NEWLINE = "␤"
-_BLANK = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_BLANK = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_space(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, rf"^[{_BLANK}]+|[{_BLANK}]+\z", "")
+    return F.btrim(c, F.lit(_BLANK))
 
 
 def raw_lines(text: Column) -> Column:

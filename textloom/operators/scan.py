@@ -30,5 +30,5 @@ def keep_only(files: DataFrame, allowed_paths: DataFrame) -> DataFrame:
 
 def scan_secrets(files: DataFrame, rules: secrets.SecretRules = secrets.DEFAULT, *, text: str = "text", path: str = "rel_path") -> DataFrame:
     """(file, line, text, pattern) of each line with a secret: the first rule that matches, none on allowed lines."""
-    found = lines(files, text=text, path=path, scanner=True).select("path", "line_no", "line", secrets.matched_pattern(F.col("line"), rules).alias("pattern"))
+    found = lines(files, text=text, path=path, scanner=True).select("path", "line_no", "line", F.explode(F.array(secrets.matched_pattern(F.col("line"), rules))).alias("pattern"))  # matched once: no filter goes below a generator
     return found.where("pattern is not null").select(F.col("path").alias("file"), F.col("line_no").alias("line"), F.col("line").alias("text"), "pattern")

@@ -26,6 +26,8 @@ class ScanOptions:
     exclude_name: str | None = None
     exclude_dirs: tuple[str, ...] = ()
     exclude_dir_regex: str | None = None
+    #: The root that exclude_dir_regex sees before an entry's directory; without it, the directory below the root alone.
+    absolute_root: str | None = None
     ignore_dotfiles: bool = False
     #: Whether a dot-directory's whole subtree goes as well, or only entries whose own name begins with a dot.
     prune_dot_dirs: bool = False

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import charset, secrets, text
+from .functions import charset, paths, secrets, text
 from .functions.language import BY_EXTENSION, language_of
 from .functions.paths import ancestors
 from .operators import lines, scan, stats
@@ -340,10 +340,56 @@ def is_binary_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", charset.is_binary(b).alias("is_binary"), charset.valid_utf8(b).alias("valid_utf8"), charset.looks_like_text(b).alias("looks_like_text"))
 
 
-@query()
+def _tier_sql(valid: str, total: str) -> str:
+    r = f"{valid} / {total}"
+    return f"CASE WHEN {valid} = 0 THEN 0.0 WHEN {r} > 0.95 AND {valid} > 10 THEN 0.95 WHEN {r} > 0.9 AND {valid} > 5 THEN 0.9 WHEN {r} > 0.8 THEN 0.8 WHEN {r} > 0.7 THEN 0.7 WHEN {r} > 0.5 THEN 0.5 ELSE {r} * 0.5 END::DOUBLE"
+
+
+# every alternative takes whole bytes, two hexadecimal digits each, so that the count stays in step
+@query(f"""WITH h AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS wide, hex(encode(text)) AS x FROM documents),
+t AS (SELECT doc_id, n, wide, regexp_extract_all(x, '(?:8[1-9A-F]|9[0-9A-F]|E[0-9A-F]|F[0-9A-C])(?:[4-6][0-9A-F]|7[0-9A-E]|[89A-E][0-9A-F]|F[0-9A-C])|..') AS s,
+  regexp_extract_all(x, '8E(?:A[1-9A-F]|[BC][0-9A-F]|D[0-9A-F])|8F(?:A[1-9A-F]|[B-E][0-9A-F]|F[0-9A-E]){{2}}|(?:A[1-9A-F]|[B-E][0-9A-F]|F[0-9A-E]){{2}}|8F[89A-F][0-9A-F]$|..') AS e FROM h),
+c AS (SELECT doc_id, n, wide, len(list_filter(s, lambda v: len(v) = 4)) AS sv, len(list_filter(s, lambda v: len(v) = 4 OR v >= '80')) AS st,
+  len(list_filter(e, lambda v: len(v) = 6 OR (len(v) = 4 AND v[1:2] <> '8F'))) AS ev, len(list_filter(e, lambda v: len(v) > 2 OR v >= '80')) AS et FROM t),
+k AS (SELECT doc_id, n, wide, CASE WHEN wide / n > 0.3 THEN 0.95 WHEN wide / n > 0.1 THEN 0.85 WHEN wide > 0 THEN 0.75 ELSE 0.6 END::DOUBLE AS u, {_tier_sql("sv", "st")} AS s, {_tier_sql("ev", "et")} AS e FROM c),
+m AS (SELECT *, greatest(u, s, e, s * 0.95) AS top FROM k)
+SELECT doc_id, CASE WHEN n = 0 THEN 'Unknown' WHEN wide = 0 THEN 'ASCII' WHEN u = top THEN 'UTF-8' WHEN s = top THEN 'Shift-JIS' WHEN e = top THEN 'EUC-JP' WHEN n > 0 THEN 'CP932' END AS encoding,
+CASE WHEN n = 0 THEN 0.0 WHEN wide = 0 THEN 1.0 WHEN n > 0 THEN top END::DOUBLE AS confidence, CASE WHEN n = 0 THEN '' WHEN wide = 0 THEN 'en' WHEN u < top OR top > 0.7 THEN 'ja' WHEN n > 0 THEN '' END AS language FROM m""")
 def charset_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = charset.detect(F.encode("text", "utf-8"))
-    return _table(spark, sf_dir, "documents").select("doc_id", d["encoding"].alias("encoding"), d["confidence"].alias("confidence"), d["language"].alias("language"))
+    """From all bytes of each text, without the detector's limit on the sample."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return charset.detected(docs, F.col("content"), sample=0).drop("content")
+
+
+LEGACY = "これは日本語の文章です。漢字とひらがな、カタカナ。"
+_LEGACY_BYTES = tuple(LEGACY.encode(c).hex() for c in ("cp932", "euc_jp", "iso2022_jp", "utf-8"))
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, and a Japanese text some times over in one of four encodings, as doc_id says."""
+    code = F.element_at(F.array(*map(F.lit, _LEGACY_BYTES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.repeat(code, (F.col("doc_id") % 7 + 1).cast("int"))).alias("content"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Shift-JIS' WHEN 1 THEN 'EUC-JP' WHEN 2 THEN 'ASCII' ELSE 'UTF-8' END AS encoding,
+CASE WHEN doc_id % 4 = 2 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence, CASE WHEN doc_id % 4 = 2 THEN 'en' ELSE 'ja' END AS language FROM documents""")
+def charset_detect_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escape sequences are ASCII, which is looked for first; only decode asks for them before."""
+    return charset.detected(_legacy(spark, sf_dir), F.col("content")).drop("content")
+
+
+@query("SELECT doc_id, repeat('これは日本語の文章です。漢字とひらがな、カタカナ。', (doc_id % 7 + 1)::INTEGER) AS text FROM documents")
+def charset_decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legacy(spark, sf_dir).select("doc_id", charset.decode(F.col("content")).alias("text"))
+
+
+@query("""SELECT doc_id, p AS rel_path, doc_id % 3 = 0 AS is_dot, doc_id % 4 = 1 AS under_git, doc_id % 5 IN (1, 2) AS is_image FROM (SELECT doc_id,
+CASE WHEN doc_id % 4 = 1 THEN 'a/.git/' ELSE 'a/git/' END || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END || 'f' || doc_id || CASE doc_id % 5 WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg' ELSE '.txt' END AS p FROM documents)""")
+def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    path = F.concat(F.when(d % 4 == 1, "a/.git/").otherwise("a/git/"), F.when(d % 3 == 0, ".").otherwise(""), F.lit("f"), d.cast("string"), F.when(d % 5 == 1, ".PNG").when(d % 5 == 2, ".jpg").otherwise(".txt"))
+    p = F.col("rel_path")
+    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("rel_path")).select("doc_id", "rel_path", paths.is_dot(p).alias("is_dot"), paths.under_git(p).alias("under_git"), paths.is_image(p).alias("is_image"))
 
 
 @query("SELECT doc_id, text FROM documents")
