@@ -146,6 +146,37 @@ def test_tiles_join_like_one(docs, monkeypatch):
     assert found(m.ngram_jaccard_join(docs(rows))) == classes(rows)
 
 
+def test_rounds_send_each_set_to_few_tiles(docs, monkeypatch, tmp_path):
+    """A cluster of 150 near copies in 38 tiles: disk follows the documents, not their number times the tiles."""
+    rng = random.Random(8)
+    base = words(rng, 80).split()
+    rows = [(i, " ".join([*base, *words(rng, 12).split()])) for i in range(150)] + [(1000 + i, words(rng, 30)) for i in range(1500)]
+    real, rounds = m._links, []
+
+    def counted(t):
+        path = tmp_path / str(len(rounds))
+        path.mkdir()
+        rounds.append(path)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    (path / str(random.getrandbits(64))).write_text(str(batch.num_rows))
+                    yield batch
+
+            return real(t)(seen())
+
+        return run
+
+    monkeypatch.setattr(m, "TILE", 4)
+    monkeypatch.setattr(m, "_links", counted)
+    got = m.ngram_jaccard_join(docs(rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, 0 if i < 150 else i, 149 if i < 150 else 0) for i, _ in rows)
+    sent = [sum(int(p.read_text()) for p in path.iterdir()) for path in rounds]
+    assert len(sent) > 1
+    assert max(sent) <= 2 * m.NEAR * 150
+
+
 def test_sql_says_the_same(docs, tmp_path):
     rows = [(i, x) for i, x in corpus(7) if i is not None]
     docs(rows).write.parquet(str(tmp_path / "documents"))

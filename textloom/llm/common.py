@@ -79,14 +79,22 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+#: Whether Spark deletes the shuffle files of a query when it ends, and not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, into: list[str] | None = None, by: str | None = None) -> DataFrame:
     """df as a table written to the shared folder: cuts lineage, and survives the loss of any executor.
 
-    into: gets the table's path, for dropped() once what was made from it is written too.
+    into: gets the table's path, for dropped() once what was made from it is written too. by: a column for folders.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     if into is not None:
         into.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -112,6 +120,37 @@ def sized(small: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(small) if (small.count() if rows is None else rows) <= BROADCAST_ROWS else small
 
 
+#: Most rows of the bitmap that sieve() broadcasts, 4 KB each, and the bits of one.
+SIEVE_ROWS, SIEVE_BITS = 4096, 32_768
+
+
+def sieve(rows: DataFrame, hashed: str, keys: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose 64-bit hash may be among the n keys, and those whose hash surely isn't there.
+
+    By a bitmap of 16 MB at most, so that a join need not shuffle all rows, which may hold long texts.
+    """
+    size = min(SIEVE_ROWS, 1 << (n // 1024).bit_length())
+    bits = keys.groupBy(F.pmod(F.shiftright(key, 15), F.lit(size)).alias("__part")).agg(F.bitmap_construct_agg(F.pmod(key, F.lit(SIEVE_BITS))).alias("__bits"))
+    place = F.pmod(hashed, F.lit(SIEVE_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << x) for x in range(8))), place % 8 + 1)) > 0, F.lit(False))
+    tested = rows.join(F.broadcast(bits), F.pmod(F.shiftright(hashed, 15), F.lit(size)) == F.col("__part"), "left").withColumn("__known", known)
+    return tuple(tested.where(F.col("__known") == x).select(*rows.columns) for x in (True, False))
+
+
+def looked_up(rows: DataFrame, hashed: str, keys: DataFrame, key: str, on: Column, how: str, few: int | None = None) -> DataFrame:
+    """rows joined with keys (a written table), on what implies hashed = key; only rows that may find a key are shuffled.
+
+    few: keys up to which they are broadcast instead.
+    """
+    n = keys.count()
+    if n <= (BROADCAST_ROWS if few is None else few):
+        return rows.join(F.broadcast(keys), on, how)
+    maybe, rest = sieve(rows, hashed, keys, key, n)
+    found = maybe.join(keys, on, how)
+    return found if how in ("inner", "left_semi") else found.unionByName(rest, allowMissingColumns=how == "left")
+
+
 class WordHash(dict):
     """64-bit hash of a word, remembered; the memory is bounded, forgetting is harmless."""
 
@@ -205,16 +244,17 @@ def joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 DRIVER_EDGES = 400_000
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, into: list[str] | None = None) -> DataFrame:
     """(__node, __root) of an undirected graph, __root the least node of each component.
 
     Edges with a null end are left out. Few edges, as counted, are joined on the driver. More go through alternating
     stars: in each round every node hands its neighbours the least node it knows, by aggregation and join, so that no
-    task holds a node's neighbours; rounds grow with the logarithm of the longest path and are checkpointed.
+    task holds a node's neighbours; rounds grow with the logarithm of the longest path and are written, and dropped
+    after the next. into: gets the paths of tables that the result reads.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct().checkpoint()
+    spark, kept = edges.sparkSession, []
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    e = written(e, "edges", kept)
     kind = e.schema["u"].dataType.simpleString()
     if e.count() <= DRIVER_EDGES:
         up: dict = {}
@@ -225,6 +265,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return x
 
         table = e.toArrow()
+        dropped(spark, kept)
         for u, v in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
             x, y = root(u), root(v)
             if x != y:
@@ -240,10 +281,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = large.join(low, "u")
-        small = ends.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        small = ends.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        last, kept = kept, []
+        small = written(small, "edges", kept)
+        dropped(spark, last)
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = small
         if tuple(now) == seen:
             break
         seen = tuple(now)
+    if into is not None:
+        into += kept
     return e.select(F.col("u").alias("__node"), F.col("v").alias("__root")).union(e.select(F.col("v"), F.col("v")).distinct())

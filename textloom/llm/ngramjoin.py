@@ -18,11 +18,14 @@ and passages that many documents share come last. The steps:
    part and 32 bits count as one, which only makes them look more frequent; the order stays the same everywhere.)
 3. Chunks take each document's prefix. Documents that share a gram of their prefixes are tied to the first of them,
    within the chunk first; connected ones are a cluster. Every pair at the threshold lies in a cluster.
-4. The sets of clusters (not of the other documents) travel once, to trees; clusters of more than TILE
-   documents are cut in tiles, and each two tiles are compared.
+4. The sets of clusters (not of the other documents) are written once and travel to trees; clusters of more than TILE
+   documents are cut in tiles, and each two tiles are compared, in rounds: tiles that lie up to NEAR apart (in a circle)
+   first, then those further away. What a round finds is added up, one row a document, before the next.
 
 No step drops a pair, whatever the data. The work within a cluster grows with the square of its different texts as far as
-the trees exclude nothing, as the exact number of links asks; nothing that is written grows faster than the documents.
+the trees exclude nothing, as the exact number of links asks, and so does what travels over all rounds; what lies on disk
+at once doesn't: a round sends each set to 2 * NEAR pairs of tiles at most (fewer if most documents are in such clusters),
+and its shuffle files go with it. Texts are shuffled only if a bitmap says that they may be wanted.
 
 Defined results. A document is (doc_id, text); rows that repeat both are one. Null and empty texts (no word) have no
 set: they have no links and stay. A null doc_id is a document like any other. Ties: a class is named by, and of a
@@ -40,9 +43,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHash, bundles, components, dropped, fresh_path, give_back, joined, keyed, prepare, rolled, sized, text_hash, written
+from .common import WORD, WordHash, bundles, components, dropped, give_back, joined, keyed, looked_up, prepare, rolled, sized, text_hash, written
 
-N, THRESHOLD, TILE, LOCAL = 3, 0.6, 1024, 64
+N, THRESHOLD, TILE, LOCAL, NEAR = 3, 0.6, 1024, 64, 4
 #: Grams in a chunk, about; bytes of text for a part of the grams, and the most parts.
 CHUNK_GRAMS, PART_BYTES, PARTS = 1_000_000, 8 << 20, 65_536
 LEAF, FAN, COLUMNS = 32, 8, 1 << 15
@@ -398,7 +401,32 @@ def _links(t: float):
     return run
 
 
-def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, parts: int | None = None, chunk_grams: int = CHUNK_GRAMS, local: int = LOCAL) -> DataFrame:
+def _rounds(sets: DataFrame, tiles: DataFrame, documents: int, threshold: float, near: int, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(node, links, root) of every node with links, root a node that they lead to, and (node, root) of further ties between roots.
+
+    A pair of tiles is e apart, 0 <= e <= tiles / 2, in a circle of a cluster's tiles; a round takes some e.
+    """
+    most = tiles.agg(F.max("tiles").alias("most")).first()["most"] or 1
+    step = max(1, min(near, documents // (2 * sets.where("tiles > 1").count()))) if most > 1 else 1
+    links = ties = None
+    last: list[str] = []
+    for e in range(0, most // 2 + 1, step):
+        there = f"transform(sequence({e}, least({e + step - 1}, tiles div 2)), e -> array(pmod(tile + e, tiles), pmod(tile - e, tiles)))"
+        pairs = F.expr(f"array_distinct(transform(flatten({there}), x -> struct(least(x, tile) as i, greatest(x, tile) as j)))")
+        tiled = sets.where(f"tiles div 2 >= {e}").select("c", F.explode(pairs).alias("ij"), "tile", "node", "w", "grams")
+        tiled = tiled.select("c", "ij.i", "ij.j", "tile", "node", "w", "grams").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+        new = tiled.mapInArrow(_links(threshold), "node long, links long, root long")
+        new = (new if links is None else new.union(links)).groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.collect_set("root").alias("roots"))
+        old, last = last, []
+        new = written(new, "links", last)
+        dropped(sets.sparkSession, old)
+        more = written(new.select(F.explode("roots").alias("node"), "root").where("node <> root").distinct(), "ties", scratch)
+        links, ties = new.select("node", "links", "root"), more if ties is None else ties.union(more)
+    scratch += last
+    return links, ties
+
+
+def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, parts: int | None = None, chunk_grams: int = CHUNK_GRAMS, local: int = LOCAL, near: int = NEAR) -> DataFrame:
     """(id, th, class_none, class_id, class_th, n_links) of every document that has a word, as a written table."""
     spark, scratch = docs.sparkSession, []
     prepare(spark)
@@ -413,15 +441,12 @@ def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     many = texts.where("w > 1").select("th", "th2", F.col("rep.id").alias("rid"), "w")
     many = sized(written(many, "many", scratch))
     gone = written(named.join(many, ["th", "th2"]).where(~F.col("id").eqNullSafe(F.col("rid"))).select(F.col("id").alias("gid"), F.col("th").alias("gth")), "copies", scratch)
-    first = base.join(sized(gone), F.col("__id").eqNullSafe(F.col("gid")) & (F.col("__th") == F.col("gth")), "left_anti")
+    first = looked_up(base, "__th", gone, "gth", F.col("__id").eqNullSafe(F.col("gid")) & (F.col("__th") == F.col("gth")), "left_anti")
     sent = first.mapInArrow(_tokens(n, parts, chunk_grams, local), SENT_DDL).repartition(parts, "to").mapInArrow(_frequencies, SENT_DDL)
-    path = fresh_path(spark, "prefixes")
-    sent.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), PREFIX_DDL).write.partitionBy("kind").parquet(path)
-    scratch.append(path)
-    prefixes = spark.read.schema(PREFIX_DDL).parquet(path)
+    prefixes = written(sent.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), PREFIX_DDL), "prefixes", scratch, by="kind")
     entries = prefixes.where(F.col("kind") == ENTRY).select("token", "u")
     ties = entries.join(entries.groupBy("token").agg(F.min("u").alias("v")), "token").where("u <> v").select("u", "v")
-    cluster = components(ties.union(prefixes.where(F.col("kind") == EDGE).select("u", "v")), "u", "v").select(F.col("__node").alias("u"), F.col("__root").alias("c"))
+    cluster = components(ties.union(prefixes.where(F.col("kind") == EDGE).select("u", "v")), "u", "v", scratch).select(F.col("__node").alias("u"), F.col("__root").alias("c"))
     cluster = cluster.join(prefixes.where(F.col("kind") == NAME).select("u", "id", "th"), "u").groupBy("c", "id", "th").agg(F.min("u").alias("node"))
     weights = many.select(F.col("th").alias("wth"), "rid", "w")
     cluster = cluster.join(weights, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("rid")), "left").select("c", "id", "th", "node", F.coalesce("w", F.lit(1)).alias("w"))
@@ -429,13 +454,11 @@ def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     tiles = written(cluster.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1"), "tiles", scratch)
     members = cluster.join(sized(tiles), "c", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     members = written(members, "members", scratch)
-    sets = first.join(sized(members), F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("c", "tiles", "tile", "node", "w", "__text")
-    sets = sets.mapInArrow(_sets(n), "c long, tiles int, tile int, node long, w long, grams binary")
-    tiled = sets.select("c", F.explode(F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, tile) as i, greatest(x, tile) as j))")).alias("ij"), "tile", "node", "w", "grams")
-    tiled = tiled.select("c", "ij.i", "ij.j", "tile", "node", "w", "grams").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
-    links = written(tiled.mapInArrow(_links(threshold), "node long, links long, root long"), "links", scratch)
-    root = components(links, "node", "root").select(F.col("__node").alias("node"), F.col("__root").alias("root"))
-    found = links.groupBy("node").agg(F.sum("links").alias("links")).join(root, "node").join(members.select("node", "id", "th"), "node")
+    sets = looked_up(base, "__th", members, "th", F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th")), "inner").select("c", "tiles", "tile", "node", "w", "__text")
+    sets = written(sets.mapInArrow(_sets(n), "c long, tiles int, tile int, node long, w long, grams binary"), "sets", scratch)
+    links, ties = _rounds(sets, tiles, named.count(), threshold, near, scratch)
+    root = components(links.select("node", "root").union(ties), "node", "root", scratch).select(F.col("__node").alias("node"), F.col("__root").alias("root"))
+    found = links.select("node", "links").join(root, "node").join(members.select("node", "id", "th"), "node")
     found = written(found, "found", scratch)
     best = found.groupBy("root").agg(F.min(rank).alias("best"))
     found = written(found.join(best, "root").select(F.col("id").alias("fid"), F.col("th").alias("fth"), "links", "best"), "linked", scratch)
@@ -464,7 +487,9 @@ def ngram_jaccard_dedup(docs: DataFrame, **kw) -> DataFrame:
     classes = ngram_classes(docs, **kw)
     gone = classes.where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))))
     gone = written(gone.select(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th")), "gone")
-    return docs.join(sized(gone), docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]) & (text_hash(docs["text"]) == gone["__gone_th"]) & docs["text"].isNotNull(), "left_anti")
+    mine = docs.select(F.struct("*").alias("__row"), text_hash("text").alias("__th"))
+    on = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__th") == F.col("__gone_th")) & F.col("__row.text").isNotNull()
+    return looked_up(mine, "__th", gone, "__gone_th", on, "left_anti").select("__row.*")
 
 
 SQL = f"""
