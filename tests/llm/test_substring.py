@@ -73,6 +73,33 @@ def test_minimisers_of_equal_windows_are_equal():
     assert n.sum() == 394 and all(h[at[x]] == grams[x : x + 7].min() for x in range(394))
 
 
+def test_halves_of_equal_windows_have_equal_keys():
+    rng, w, gram = np.random.default_rng(4), 41, 10
+    passage = rng.integers(0, 50, 70)
+    keys = []
+    for seed in (1, 2):
+        around = np.random.default_rng(seed).integers(0, 50, 200)
+        hashes = np.random.default_rng(0).integers(0, 1 << 63, 50).astype(np.uint64)[np.concatenate((around[:90], passage, around[90:]))]
+        key, first, wins = m.super_kmers(m.rolled(hashes, gram), w, gram)
+        of = {x: k for k, a, n in zip(key.tolist(), first.tolist(), wins.tolist(), strict=True) for x in range(a, a + n)}
+        assert sorted(of) == list(range(len(hashes) - 49))  # each window in one part
+        keys.append([of[x] for x in range(90, 90 + 70 - 49)])
+    assert keys[0] == keys[1]
+
+
+def test_a_phrase_that_repeats_alone_does_not_travel():
+    """Documents that share a minimiser of 10 words, but no 30 words around it, share no key."""
+    rng = np.random.default_rng(6)
+    phrase, keys, plain = rng.integers(0, 1 << 63, 10).astype(np.uint64), [], []
+    for _ in range(50):
+        grams = m.rolled(np.concatenate((rng.integers(0, 1 << 63, 60).astype(np.uint64), phrase, rng.integers(0, 1 << 63, 60).astype(np.uint64))), 10)
+        grams[60] = 0  # the least
+        keys += m.super_kmers(grams, 41, 10)[0].tolist()
+        plain += m.super_kmers(grams, 41)[0].tolist()
+    assert plain.count(0) == 50
+    assert len(set(keys)) == len(keys)
+
+
 def test_repeated_rows_are_one_document(docs):
     rng = random.Random(3)
     t = words(rng, 120)

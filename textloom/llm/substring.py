@@ -6,14 +6,16 @@ any later occurrence covers is removed together with the white space after it. A
 short period keeps one period.
 
 Distribution. The minimiser of a window is the leftmost least hash of its GRAM-word grams; consecutive windows with
-the same minimiser position form a super-k-mer, which travels as one packed string to its minimiser's bucket. A window
-that repeats has a minimiser that repeats, so minimisers are counted first (hash, position) and only super-k-mers of
-repeated ones travel. Of equal packed strings only the first can hold first occurrences; later ones are dropped where
+the same minimiser position form a super-k-mer. Equal windows have it at the same place, so it is cut in two: windows
+that begin at least half of the other words before the minimiser share all those words and it, the others share at
+least as many words after it. The hash of these words, some 30 of a window's 50, is the part's key, and it travels as
+one packed string to its key's bucket. A window that repeats has a key that repeats, so keys are counted first and only
+parts of repeated ones travel; texts are shuffled only if a bitmap says that they hold such parts, or lose words. Of equal packed strings only the first can hold first occurrences; later ones are dropped where
 they are met, before the shuffle already, so a passage that very many documents share stays small. Within a bucket
 the windows are counted exactly, by sorting: ranks of words give ranks of 2, 4, ... and finally WINDOW words.
 
-Hot minimisers. A phrase of GRAM words that very many different contexts surround makes a bucket that no task should
-hold. Windows of a minimiser with more than HOT super-k-mers go by their own 128-bit digests instead, one row each, and
+Hot keys. A phrase that very many different contexts surround makes a bucket that no task should hold. Windows of a key
+with more than HOT parts go by their own 128-bit digests instead, one row each, and
 are counted by aggregation and join, which split any group; so no bucket in a task has more than HOT packed strings.
 
 Defined results. A null text stays null, texts below WINDOW words stay as they are. A null doc_id is a document like
@@ -34,14 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, bundles, dropped, give_back, keyed, prepare, rolled, text_hash, written
+from .common import WordHash, bundles, dropped, give_back, keyed, looked_up, prepare, rolled, text_hash, written
 
 WINDOW, GRAM, HOT = 50, 10, 50_000
+_MUL, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 TOKEN = re.compile(rb"[^ \t\n\r\f\x0b]+[ \t\n\r\f\x0b]*")
 
 
-def super_kmers(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, windows) of each run of windows of w grams whose leftmost least gram is the same one."""
+def super_kmers(grams: np.ndarray, w: int, gram: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, windows) of each run of windows of w grams whose leftmost least gram is the same one.
+
+    gram: the words of a gram, to cut each run in two by the words that its windows share, with a key of these instead.
+    """
     n = len(grams) - w + 1
     order = np.argsort(grams, kind="stable")
     x = np.empty(len(grams), np.int64)
@@ -54,7 +60,20 @@ def super_kmers(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.n
         x = np.minimum(x[:n], x[w - span : w - span + n])
     at = order[x]
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return grams[at[starts]], starts, np.diff(np.append(starts, n))
+    at, ends = at[starts], np.append(starts[1:], n)
+    if gram is None:
+        return grams[at], starts, ends - starts
+    half = (w - 1) // 2
+    cut = np.clip(at - half + 1, starts, ends)  # windows before it begin half words before the minimiser, or more
+    out = []
+    for a, b, lo, hi in ((starts, cut, -half, 0), (cut, ends, 0, w - half)):
+        some = b > a
+        key = np.zeros(int(some.sum()), np.uint64)
+        for x in sorted({*range(lo, hi, gram), hi}):
+            key = (key ^ grams[at[some] + x]) * _MUL
+            key ^= key >> _SHIFT
+        out.append((key, a[some], (b - a)[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _marks(window: int, gram: int):
@@ -65,7 +84,7 @@ def _marks(window: int, gram: int):
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = text.encode().split()
                 if len(words) >= window:
-                    h, s, n = super_kmers(rolled(hashes.of(words), gram), window - gram + 1)
+                    h, s, n = super_kmers(rolled(hashes.of(words), gram), window - gram + 1, gram)
                     hs.append(h)
                     starts.append(s)
                     wins.append(n)
@@ -218,8 +237,9 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     counts = written(marks.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot")), "minimisers", scratch)
 
     def found(of: DataFrame) -> DataFrame:
-        wanted = marks.join(of.select("h"), "h", "left_semi").groupBy(F.col("__id").alias("id"), F.col("__th").alias("th")).agg(F.collect_set(F.struct("start", "wins", "h")).alias("wanted"))
-        return base.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th"))).select("__id", "__th", "__text", "wanted")
+        mine = looked_up(marks, "h", of.select(F.col("h").alias("__h")), "__h", F.col("h") == F.col("__h"), "left_semi")
+        wanted = written(mine.groupBy(F.col("__id").alias("id"), F.col("__th").alias("th")).agg(F.collect_set(F.struct("start", "wins", "h")).alias("wanted")), "wanted", scratch)
+        return looked_up(base, "__th", wanted, "th", F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th")), "inner", 0).select("__id", "__th", "__text", "wanted")
 
     packed = found(counts.where("not hot")).mapInArrow(_packed(window), "h long, packed binary, none boolean, id long, th long, a int, b int")
     spans = packed.repartition("h").sortWithinPartitions("h", "packed", "none", "id", "th", "a").mapInArrow(_spans(window), "id long, th long, a int, b int")
@@ -232,7 +252,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     gone = written(spans.groupBy(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th")).agg(F.collect_set(F.struct("a", "b")).alias("__spans")), "spans")
     dropped(docs.sparkSession, scratch)
     mine = docs.select(F.struct("*").alias("__row"), text_hash("text").alias("__th"))
-    fixed = mine.join(gone, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__th") == F.col("__gone_th")), "left")
+    fixed = looked_up(mine, "__th", gone, "__gone_th", F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__th") == F.col("__gone_th")), "left", 0)
     fixed = fixed.withColumn("__cut", _cut(F.when(F.col("__spans").isNotNull(), F.col("__row.text")), "__spans"))
     out = [F.when(F.col("__spans").isNotNull(), F.col("__cut.text")).otherwise(F.col("__row.text")).alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns if c != removed]
     return fixed.select(*out, F.coalesce("__cut.removed", F.lit(0)).alias(removed))
