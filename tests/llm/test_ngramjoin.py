@@ -177,6 +177,51 @@ def test_rounds_send_each_set_to_few_tiles(docs, monkeypatch, tmp_path):
     assert max(sent) <= 2 * m.NEAR * 150
 
 
+def counted_links(monkeypatch, tmp_path):
+    """Count the sets that _links gets: what has been counted so far."""
+    real = m._links
+
+    def counted(t):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    (tmp_path / str(random.getrandbits(64))).write_text(str(batch.num_rows))
+                    yield batch
+
+            return real(t)(seen())
+
+        return run
+
+    monkeypatch.setattr(m, "_links", counted)
+    return lambda: sum(int(p.read_text()) for p in tmp_path.iterdir())
+
+
+@pytest.mark.parametrize(("chunk", "few"), [(1_000_000, 32), (2000, 32), (2000, 2)])
+def test_grams_shared_by_chance_tie_nothing(docs, monkeypatch, tmp_path, chunk, few):
+    """500 documents of few different words, each of which shares some grams with others: no cluster of them all."""
+    rng = random.Random(4)
+    rows = [(i, words(rng, rng.randrange(20, 60), 24)) for i in range(500)]
+    for i in range(40):
+        rows.append((1000 + i, " ".join(w if rng.random() > 0.05 else "x" for w in rows[i][1].split())))
+    sent = counted_links(monkeypatch, tmp_path)
+    got = found(m.ngram_jaccard_join(docs(rows), chunk_grams=chunk, few=few))
+    assert got == classes(rows) and sum(n for _, _, n in got) > 40
+    if few == m.FEW:
+        assert sent() < 160
+
+
+def test_pairs_at_the_threshold_are_tied(docs):
+    """Sets of which one holds the other, or that differ at the ends, at 0.6 exactly and next to it."""
+    rng = random.Random(12)
+    rows = []
+    for size in (3, 5, 8, 20, 40, 50):
+        base = [f"b{size}_{k}" for k in range(size + 2)]
+        for cut in range(size):
+            rows.append((len(rows), " ".join(base[: size + 2 - cut])))
+            rows.append((len(rows), " ".join([*base[cut:], *(f"c{rng.randrange(30)}" for _ in range(cut // 2))])))
+    assert found(m.ngram_jaccard_join(docs(rows), few=400)) == found(m.ngram_jaccard_join(docs(rows), few=3)) == classes(rows)
+
+
 def test_sql_says_the_same(docs, tmp_path):
     rows = [(i, x) for i, x in corpus(7) if i is not None]
     docs(rows).write.parquet(str(tmp_path / "documents"))

@@ -16,8 +16,10 @@ and passages that many documents share come last. The steps:
    that more than LOCAL documents of a chunk have go as a count, so no gram has more entries in a part than LOCAL times
    the chunks. Parts count the documents of each gram and tell the chunks those of grams seen twice. (Different grams that share a
    part and 32 bits count as one, which only makes them look more frequent; the order stays the same everywhere.)
-3. Chunks take each document's prefix. Documents that share a gram of their prefixes are tied to the first of them,
-   within the chunk first; connected ones are a cluster. Every pair at the threshold lies in a cluster.
+3. Chunks take each document's prefix. Documents that share a gram which more than FEW have in their prefixes are tied
+   to the first of them, within the chunk first. Of grams that fewer have, each pair is counted, and two documents are tied
+   if the grams that they share in their prefixes, and what may follow these, allow the overlap that the threshold asks:
+   a rare gram shared by chance ties nothing. Connected ones are a cluster. Every pair at the threshold lies in a cluster.
 4. The sets of clusters (not of the other documents) are written once and travel to trees; clusters of more than TILE
    documents are cut in tiles, and each two tiles are compared, in rounds: tiles that lie up to NEAR apart (in a circle)
    first, then those further away. What a round finds is added up, one row a document, before the next.
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, WordHash, bundles, components, dropped, give_back, joined, keyed, looked_up, prepare, rolled, sized, text_hash, written
 
-N, THRESHOLD, TILE, LOCAL, NEAR = 3, 0.6, 1024, 64, 4
+N, THRESHOLD, TILE, LOCAL, NEAR, FEW = 3, 0.6, 1024, 64, 4, 32
 #: Grams in a chunk, about; bytes of text for a part of the grams, and the most parts.
 CHUNK_GRAMS, PART_BYTES, PARTS = 1_000_000, 8 << 20, 65_536
 LEAF, FAN, COLUMNS = 32, 8, 1 << 15
@@ -81,11 +83,12 @@ class Node:
         self.lo, self.hi, self.width, self.bits, self.clash, self.kids = lo, hi, width, bits, clash, kids
 
 
-def build(items: list[tuple[int, int, int]]) -> Node:
-    """A tree over (size, width, bits) in the order given: like sets should be neighbours. Leaves' kids are item numbers."""
+def build(items: list[tuple[int, int, int]], lo: int = 0, hi: int | None = None) -> Node:
+    """A tree over (size, width, bits), items lo to hi, in the order given: like sets should be neighbours. Leaves' kids are item numbers."""
     level = []
-    for a in range(0, len(items), LEAF):
-        part = items[a : a + LEAF]
+    hi = len(items) if hi is None else hi
+    for a in range(lo, hi, LEAF):
+        part = items[a : min(a + LEAF, hi)]
         width = min(w for _, w, _ in part)
         bits = clash = 0
         for size, w, x in part:
@@ -121,10 +124,13 @@ def possible(a: Node, b: Node, t: float) -> bool:
     return most * (1 + t) >= t * (a.lo + b.lo) - 1e-9
 
 
-def leaf_pairs(items: list[tuple[int, int, int]], t: float) -> Iterator[tuple[list[int], list[int]]]:
-    """Pairs of leaves (item numbers; a leaf with itself, too) that dual traversal of the items' tree can't exclude."""
-    root = build(items)
-    stack = [(root, root)]
+def leaf_pairs(items: list[tuple[int, int, int]], t: float, cut: int = 0) -> Iterator[tuple[list[int], list[int]]]:
+    """Pairs of leaves (item numbers; a leaf with itself, too) that dual traversal of the items' tree can't exclude.
+
+    cut: only pairs of the items before it with those from it on, a tree each.
+    """
+    root = build(items, cut)
+    stack = [(build(items, 0, cut) if cut else root, root)]
     while stack:
         a, b = stack.pop()
         if not possible(a, b, t):  # a node with itself, too: all below may be alone
@@ -174,11 +180,15 @@ def overlaps(a: Leaf, b: Leaf) -> np.ndarray:
     return out
 
 
-def similar(sets: list[np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j), i < j, of the sets whose Jaccard similarity is at least t."""
-    order = sorted(range(len(sets)), key=lambda x: (sets[x][0], len(sets[x])))  # by the least hash: like sets are neighbours
+def similar(sets: list[np.ndarray], t: float, first: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of the sets whose Jaccard similarity is at least t; first: only pairs of those where it holds with the others."""
+    side = np.zeros(len(sets), bool) if first is None else ~first
+    order = sorted(range(len(sets)), key=lambda x: (side[x], sets[x][0], len(sets[x])))  # by the least hash: like sets are neighbours
+    cut = 0 if first is None else int(first.sum())
+    if first is not None and cut in (0, len(sets)):
+        return
     leaves: dict[int, Leaf] = {}
-    for p, q in leaf_pairs([(len(sets[x]), *bitmap(sets[x])) for x in order], t):
+    for p, q in leaf_pairs([(len(sets[x]), *bitmap(sets[x])) for x in order], t, cut):
         for k in (p, q):
             if k[0] not in leaves:
                 leaves[k[0]] = Leaf([sets[order[x]] for x in k])
@@ -296,13 +306,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-PREFIX = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("id", pa.int64()), ("th", pa.int64())])
-PREFIX_DDL = "kind int, token long, u long, v long, id long, th long"
+PREFIX = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("size", pa.int32()), ("rest", pa.int32())])
+PREFIX_DDL = "kind int, token long, u long, v long, id long, th long, size int, rest int"
 ENTRY, EDGE, NAME = range(3)
 
 
-def _prefixes(t: float):
-    """For each chunk: (token, first document of the chunk with it), edges to that one from the others, and names of the documents."""
+def _prefixes(t: float, most: int):
+    """For each chunk: (token, document with it, size of its set, grams of it that follow), and names of the documents.
+
+    A token that more than most documents of the chunk have comes with the first of them, size 0, and edges to it from the others.
+    """
 
     def rows(kind: int, n: int, **cols: np.ndarray | pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *(cols[f.name] if isinstance(cols.get(f.name), pa.Array) else pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in list(PREFIX)[1:])], schema=PREFIX)
@@ -336,15 +349,18 @@ def _prefixes(t: float):
             seen = np.bincount(doc, minlength=len(size))
             place = np.arange(len(doc)) - (np.cumsum(seen) - seen)[doc] + (size - seen)[doc]
             keep = place < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[doc]
-            token, doc = token[keep], doc[keep]
+            token, doc, rest = token[keep], doc[keep], (size[doc] - 1 - place)[keep]
             if not len(token):
                 continue
             order = np.lexsort((doc, token))
-            token, doc = token[order], doc[order]
+            token, doc, rest = token[order], doc[order], rest[order]
             start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            first = np.repeat(doc[start], np.diff(np.append(start, len(token))))
-            yield rows(ENTRY, len(start), token=token[start].view(np.int64), u=doc[start] | (chunk << 16))
-            pair = np.unique((first << 16 | doc)[first != doc])
+            count = np.diff(np.append(start, len(token)))
+            first, often = np.repeat(doc[start], count), np.repeat(count > most, count)
+            told = ~often
+            told[start] = True
+            yield rows(ENTRY, int(told.sum()), token=token[told].view(np.int64), u=doc[told] | (chunk << 16), size=np.where(often, 0, size[doc])[told], rest=rest[told])
+            pair = np.unique((first << 16 | doc)[often & (first != doc)])
             if len(pair):
                 yield rows(EDGE, len(pair), u=(pair >> 16) | (chunk << 16), v=(pair & 0xFFFF) | (chunk << 16))
             some = np.unique(doc)
@@ -355,6 +371,62 @@ def _prefixes(t: float):
     return run
 
 
+TIED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("a", pa.int64()), ("size_u", pa.int32()), ("size_v", pa.int32()), ("rest_u", pa.int32()), ("rest_v", pa.int32())])
+TIED_DDL = "u long, v long, a long, size_u int, size_v int, rest_u int, rest_v int"
+#: Counts as more grams than any set has.
+ALL = 1 << 32
+
+
+def _tied(most: int):
+    """(token, u, size, rest) of whole tokens to u < v, the tokens that both have, their sizes, and the least that is left of each.
+
+    A token of more than most documents ties all to the first of them, whatever else they share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        if held:
+            token, u, size, rest = (np.concatenate(c) for c in zip(*held, strict=True))
+            del held
+            order = np.lexsort((u, token))
+            token, u, size, rest = token[order], u[order], size[order], rest[order]
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            count = np.diff(np.append(start, len(token)))
+            many = (count > most) | (np.minimum.reduceat(size, start) == 0)
+            few, first = np.repeat(~many, count), np.repeat(start, count)
+            stars = np.flatnonzero(~few & (u != u[first]))
+            i, j = [first[stars]], [stars]
+            for d in range(1, int(count[~many].max(initial=1))):
+                x = np.flatnonzero(few[:-d] & (token[d:] == token[:-d]) & (u[d:] != u[:-d]))
+                i.append(x)
+                j.append(x + d)
+            i, j = np.concatenate(i), np.concatenate(j)
+            a = np.where(few[i], 1, ALL)
+            order = np.lexsort((u[j], u[i]))
+            i, j, a = i[order], j[order], a[order]
+            if len(i):
+                at = np.flatnonzero(np.concatenate(([True], (u[i][1:] != u[i][:-1]) | (u[j][1:] != u[j][:-1]))))
+                columns = (u[i][at], u[j][at], np.add.reduceat(a, at), np.maximum.reduceat(size[i], at), np.maximum.reduceat(size[j], at), np.minimum.reduceat(rest[i], at), np.minimum.reduceat(rest[j], at))
+                table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TIED, strict=True)], schema=TIED)
+                for x in range(0, len(at), 1 << 16):
+                    yield table.slice(x, 1 << 16)
+        give_back()
+
+    return run
+
+
+def _ties(entries: DataFrame, t: float, parts: int, most: int) -> DataFrame:
+    """(u, v) of documents that share a token of many, or whose overlap may be what the threshold asks.
+
+    A token that both have, up to the last one that both have in their prefixes, lies in both prefixes and is counted;
+    any other one follows it in both sets, and lies beyond the prefix of the one that ends first.
+    """
+    pairs = entries.repartition(parts, "token").mapInArrow(_tied(most), TIED_DDL)
+    pairs = pairs.groupBy("u", "v").agg(F.sum("a").alias("a"), *(F.max(x).alias(x) for x in ("size_u", "size_v")), *(F.min(x).alias(x) for x in ("rest_u", "rest_v")))
+    left = F.least("rest_u", "rest_v", F.ceil(t * F.greatest("size_u", "size_v") - 1e-9) - 1)
+    return pairs.where((F.col("a") >= ALL) | ((F.col("a") + left) * (1 + t) >= t * (F.col("size_u") + F.col("size_v")) - 1e-9)).select("u", "v")
+
+
 SETS = pa.schema([("c", pa.int64()), ("tiles", pa.int32()), ("tile", pa.int32()), ("node", pa.int64()), ("w", pa.int64()), ("grams", pa.binary())])
 
 
@@ -384,13 +456,10 @@ def _links(t: float):
                 own += a
                 if len(own) < 2:
                     continue
-                nodes, w, tile = node[own], weight[own], tiles[own]
-                across = i_of[a] != j_of[a]  # pairs within a tile belong to the tile's own group
+                nodes, w = node[own], weight[own]
+                first = tiles[own] == i_of[a] if i_of[a] != j_of[a] else None  # pairs within a tile belong to the tile's own group
                 links, up = np.zeros(len(own), np.int64), np.arange(len(own))
-                for i, j in similar([np.frombuffer(grams[x].as_py(), np.uint64) for x in own.tolist()], t):
-                    if across:
-                        far = tile[i] != tile[j]
-                        i, j = i[far], j[far]
+                for i, j in similar([np.frombuffer(grams[x].as_py(), np.uint64) for x in own.tolist()], t, first):
                     np.add.at(links, i, w[j])
                     np.add.at(links, j, w[i])
                     up = joined(up, i, j)
@@ -426,7 +495,7 @@ def _rounds(sets: DataFrame, tiles: DataFrame, documents: int, threshold: float,
     return links, ties
 
 
-def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, parts: int | None = None, chunk_grams: int = CHUNK_GRAMS, local: int = LOCAL, near: int = NEAR) -> DataFrame:
+def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, parts: int | None = None, chunk_grams: int = CHUNK_GRAMS, local: int = LOCAL, near: int = NEAR, few: int = FEW) -> DataFrame:
     """(id, th, class_none, class_id, class_th, n_links) of every document that has a word, as a written table."""
     spark, scratch = docs.sparkSession, []
     prepare(spark)
@@ -443,9 +512,8 @@ def ngram_classes(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     gone = written(named.join(many, ["th", "th2"]).where(~F.col("id").eqNullSafe(F.col("rid"))).select(F.col("id").alias("gid"), F.col("th").alias("gth")), "copies", scratch)
     first = looked_up(base, "__th", gone, "gth", F.col("__id").eqNullSafe(F.col("gid")) & (F.col("__th") == F.col("gth")), "left_anti")
     sent = first.mapInArrow(_tokens(n, parts, chunk_grams, local), SENT_DDL).repartition(parts, "to").mapInArrow(_frequencies, SENT_DDL)
-    prefixes = written(sent.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), PREFIX_DDL), "prefixes", scratch, by="kind")
-    entries = prefixes.where(F.col("kind") == ENTRY).select("token", "u")
-    ties = entries.join(entries.groupBy("token").agg(F.min("u").alias("v")), "token").where("u <> v").select("u", "v")
+    prefixes = written(sent.repartition(parts, "chunk").mapInArrow(_prefixes(threshold, few), PREFIX_DDL), "prefixes", scratch, by="kind")
+    ties = _ties(prefixes.where(F.col("kind") == ENTRY).select("token", "u", "size", "rest"), threshold, parts, few)
     cluster = components(ties.union(prefixes.where(F.col("kind") == EDGE).select("u", "v")), "u", "v", scratch).select(F.col("__node").alias("u"), F.col("__root").alias("c"))
     cluster = cluster.join(prefixes.where(F.col("kind") == NAME).select("u", "id", "th"), "u").groupBy("c", "id", "th").agg(F.min("u").alias("node"))
     weights = many.select(F.col("th").alias("wth"), "rid", "w")
